@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -64,6 +65,10 @@ def extend_schema(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructTyp
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
 
 
+def byte_sizes(texts: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.binary_length(texts.cast(pa.string())), 0), dtype=np.int64)
+
+
 def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of rows that hold about ``most`` bytes together; a longer row stands alone."""
     start, held = 0, 0

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
-from .common import drop_own, extend_schema, materialize, slices
+from .common import byte_sizes, drop_own, extend_schema, materialize, slices
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratio: numerator, denominator, scale, reach, slack, side.  "high" rejects above the fence.
@@ -93,7 +93,7 @@ def measure(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()])
+            sizes = byte_sizes(texts)
             for a, b in slices(sizes, 2 << 20):
                 got = measure_texts(texts.slice(a, b - a))
                 columns = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in names]
