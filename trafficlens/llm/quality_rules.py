@@ -34,10 +34,10 @@ from .common import byte_sizes, drop_own, extend_schema, materialize, slices
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratio: numerator, denominator, scale, reach, slack, side.  "high" rejects above the fence.
 RATIOS: dict[str, tuple[str, str, int, int, int, str]] = {
-    "symbols": ("n_symbols", "n_words", 1000, 6, 250, "high"),
+    "symbols": ("n_symbols", "n_words", 1000, 6, 180, "high"),
     "word_length_high": ("word_chars", "n_words", 100, 8, 500, "high"),
     "word_length_low": ("word_chars", "n_words", 100, 8, 150, "low"),
-    "repeats": ("n_repeat_words", "n_words", 1000, 6, 300, "high"),
+    "repeats": ("n_repeat_words", "n_words", 1000, 6, 450, "high"),
     "dup_lines": ("n_dup_lines", "n_words", 1000, 6, 100, "high"),
 }
 _SYMBOL = np.zeros(256, dtype=bool)
