@@ -45,7 +45,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def drop_own(df: DataFrame, names: list[str]) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import byte_sizes, materialize, slices
+from .common import byte_sizes, discard, materialize, slices
 from .components import components
 
 NO_ID = 1 << 62  # documents without an id are numbered from here by a hash of their text
@@ -230,48 +230,71 @@ class Join:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found.tobytes() for _, found in _sets(batch, 1, size)], pa.binary())], names=["node", "shingles"])
 
-        short = classes.select("node", "n", "prefix")
+        def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+            """Those of ``ids``: sent to all if few, as counted, or else met in a shuffle."""
+            return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-ids")
+        short = only(classes.select("node", "n", "prefix"), ids)
         first = short.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("blob_a"))
         second = short.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("blob_b"))
         joined = pairs.join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "blob_a", "blob_b")
         likely = materialize(joined.mapInArrow(may, "a bigint, b bigint"), "likely")
         ids = materialize(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "likely-ids")
-        known = ids.count()
-        texts = self.docs.select("node", "text").join(F.broadcast(ids) if known <= BROADCAST_IDS else ids, "node", "left_semi")
-        full = materialize(texts.mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
+        full = materialize(only(self.docs.select("node", "text"), ids).mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
         of = lambda k: full.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
-        return materialize(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a bigint, b bigint, link boolean"), "near")
+        out = materialize(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a bigint, b bigint, link boolean"), "near")
+        discard(likely, full)
+        return out
+
+    @staticmethod
+    def unlike(rows: DataFrame) -> DataFrame:
+        """One of the regions that hold the same documents."""
+        marks = rows.groupBy("rid").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"))
+        return rows.join(marks.where("size > 1").groupBy("x", "y", "size").agg(F.min("rid").alias("rid")).select("rid"), "rid", "left_semi")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(id, node, n, class) of each document, and (node, label) of linked classes."""
         every = materialize(self.rows(), "prefixes")
         grouped = every.where("n > 0").groupBy("digest").agg(F.min(F.struct("node", "n", "prefix")).alias("c"))
         classes = materialize(grouped.select("digest", "c.node", "c.n", "c.prefix"), "classes")
-        rows = materialize(self.regions(classes), "regions")
-        edges = self.spark.createDataFrame([], "a bigint, b bigint")
+        shared = materialize(self.regions(classes), "shared")
+        rows = materialize(self.unlike(shared), "regions")
+        discard(shared)
+        tested = self.spark.createDataFrame([], "a bigint, b bigint")
+        known = self.spark.createDataFrame([], "a bigint, b bigint, link boolean")
         labels = self.spark.createDataFrame([], "node bigint, label bigint")
         pivots, wide = 1, max(0, 2 * self.percent - 100)
+        rows = rows.withColumn("label", F.col("node"))
         while not rows.isEmpty():
-            ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("rid").orderBy("node")))
-            ranked = materialize(ranked, "ranked")
-            p = ranked.where(F.col("rank") <= pivots).select("rid", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("rank").alias("rank_p"))
-            fits = (100 * F.least("n", "n_p") >= wide * F.greatest("n", "n_p")) & (F.col("rank") > F.col("rank_p"))
-            tried = materialize(ranked.join(p, "rid").where(fits).select("rid", "node", "p"), "tried")
-            near = self.near(tried.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct(), classes)
-            edges = materialize(edges.unionByName(near.where("link").select("a", "b")), "links")
-            labels = materialize(components(edges), "labels")
+            # Documents of rare components come first: the few strangers in a region of copies are its pivots.
+            ranked = rows.withColumn("like", F.count(F.lit(1)).over(W.partitionBy("rid", "label")))
+            ranked = materialize(ranked.withColumn("rank", F.row_number().over(W.partitionBy("rid").orderBy("like", "node"))).drop("like"), "ranked")
+            p = ranked.where(F.col("rank") <= pivots).select("rid", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), F.col("rank").alias("rank_p"))
+            fits = (100 * F.least("n", "n_p") >= wide * F.greatest("n", "n_p")) & (F.col("rank") > F.col("rank_p")) & (F.col("label") != F.col("label_p"))
+            tried = materialize(ranked.join(p, "rid").where(fits).select("rid", "node", "p", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")), "tried")
+            pairs = materialize(tried.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            near = materialize(known.unionByName(self.near(pairs, classes)), "known")
+            older = [tested, known, labels]
+            tested, known = materialize(tested.unionByName(pairs), "tested"), near
+            labels = materialize(components(near.where("link").select("a", "b")), "labels")
             # Cells and their windows; documents outside all cells.
-            found = materialize(tried.join(near.select(F.col("a").alias("p"), F.col("b").alias("node"), "link"), ["p", "node"]), "found")
-            kept = ranked.where(F.col("rank") > pivots)
-            outside = kept.join(found.where("link").select("rid", "node").distinct(), ["rid", "node"], "left_anti").select("rid", "node", "n")
-            windowed = found.groupBy("rid", "p").agg(F.max((~F.col("link")).cast("int")).alias("shell"), F.max(F.col("link").cast("int")).alias("cell")).where("shell = 1 and cell = 1")
-            inside = found.join(windowed.select("rid", "p"), ["rid", "p"]).join(ranked.select("rid", "node", "n"), ["rid", "node"])
+            found = materialize(tried.join(near, ["a", "b"]).select("rid", "node", "p", "link"), "found")
+            outside = ranked.where(F.col("rank") > pivots).join(found.where("link").select("rid", "node").distinct(), ["rid", "node"], "left_anti").select("rid", "node", "n")
+            of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
+            both = found.join(of("node"), "node", "left").join(of("p"), "p", "left")
+            apart = ~F.col("link") & (F.coalesce("label_node", "node") != F.coalesce("label_p", "p"))
+            both = materialize(both.withColumn("apart", apart).where("link or apart").select("rid", "p", "node", "link"), "windows")
+            windowed = both.groupBy("rid", "p").agg(F.max((~F.col("link")).cast("int")).alias("shell"), F.max(F.col("link").cast("int")).alias("cell")).where("shell = 1 and cell = 1")
+            inside = both.join(windowed.select("rid", "p"), ["rid", "p"]).join(ranked.select("rid", "node", "n"), ["rid", "node"])
             inside = inside.select(F.xxhash64("rid", "p").alias("rid"), "node", "n")
             labelled = outside.unionByName(inside).join(labels, "node", "left").select("rid", "node", "n", F.coalesce("label", "node").alias("label"))
             labelled = materialize(labelled, "recursion")
             open_ = labelled.groupBy("rid").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("rid")
-            rows = materialize(labelled.join(open_, "rid", "left_semi").select("rid", "node", "n").distinct(), "regions")
-            pivots = min(512, pivots * 8)
+            older += [rows, ranked, tried, pairs, found, both]
+            rows = materialize(self.unlike(labelled.join(open_, "rid", "left_semi").distinct()), "regions")
+            discard(*older, labelled)
+            pivots = min(512, pivots * 16)
         members = every.select("id", "node", "n", "digest").join(classes.select("digest", F.col("node").alias("class")), "digest", "left")
         return members.select("id", "node", "n", F.coalesce("class", "node").alias("class")), labels
 
