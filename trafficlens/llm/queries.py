@@ -161,8 +161,27 @@ def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chroma import render, search
+
+    return search(render(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", "media")
+
+
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudo_likelihood import rate
+
+    return rate(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
+    out = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
+
+    def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import corpus_pipeline
+
+        return corpus_pipeline.run(spark, sf_dir)
+
+    return {**out, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
