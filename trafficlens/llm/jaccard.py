@@ -20,8 +20,9 @@ all cells form another; both recurse without the pivots, until a region has one
 component or none.  Every link between two components is found, none is guessed; links within
 a component that is known already needn't be.
 
-A pair's distance is bounded first from the two prefixes alone; only a pair that may reach
-``1 - 2E`` is computed from whole sets.
+A pair's distance is bounded first from the two prefixes alone: beyond 2E it is outside the
+window, beyond E it is in the window at most, and only a pair that may be within E is
+computed from whole sets.
 
 Common shingles: a shingle found twice within one task's stretch is counted over all
 stretches; those in ``common`` documents or more are put last in the order.  The order can
@@ -187,7 +188,7 @@ class Join:
         return dealt.repartition("rid").sortWithinPartitions("rid", "node").mapInArrow(shared, "rid bigint, node bigint, n bigint")
 
     def near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Of ``pairs`` (a, b), those within ``2E``, with ``link``: whether they are within E."""
+        """Of ``pairs`` (a, b), those that may be within ``2E``, with ``link``: whether they are within E."""
         common, size, percent = self.common, self.size, self.percent
         wide = max(0, 2 * percent - 100)
 
@@ -195,7 +196,7 @@ class Join:
             hashes, powers = common.value
             for batch in batches:
                 a, b, n_a, n_b, blob_a, blob_b = (c.to_pylist() for c in batch.columns)
-                good = []
+                good, could = [], []
                 for i in range(len(a)):
                     x, y = np.frombuffer(blob_a[i], dtype=np.uint64), np.frombuffer(blob_b[i], dtype=np.uint64)
                     both = np.concatenate((x, y))
@@ -212,19 +213,17 @@ class Join:
                     most = len(both) - len(values) + min(n_a[i] - inside_x, n_b[i] - inside_y)
                     if 100 * most >= wide * (n_a[i] + n_b[i] - most):
                         good.append(i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], names=["a", "b"])
+                        could.append(100 * most >= percent * (n_a[i] + n_b[i] - most))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64())), pa.array(could, pa.bool_())], names=["a", "b", "could"])
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [[], [], []]
-                for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                link = []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                     shared = len(np.intersect1d(x, y, assume_unique=True))
-                    union = len(x) + len(y) - shared
-                    if 100 * shared >= wide * union:
-                        for to, v in zip(rows, (a, b, 100 * shared >= percent * union), strict=True):
-                            to.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_())], names=["a", "b", "link"])
+                    link.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_())], names=["a", "b", "link"])
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -239,12 +238,15 @@ class Join:
         first = short.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("blob_a"))
         second = short.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("blob_b"))
         joined = pairs.join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "blob_a", "blob_b")
-        likely = materialize(joined.mapInArrow(may, "a bigint, b bigint"), "likely")
-        ids = materialize(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "likely-ids")
-        full = materialize(only(self.docs.select("node", "text"), ids).mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
+        likely = materialize(joined.mapInArrow(may, "a bigint, b bigint, could boolean"), "likely")
+        open_ = likely.where("could").select("a", "b")
+        linked_ids = materialize(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "likely-ids")
+        full = materialize(only(self.docs.select("node", "text"), linked_ids).mapInArrow(sets, "node bigint, shingles binary"), "sets")
         of = lambda k: full.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
-        out = materialize(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a bigint, b bigint, link boolean"), "near")
-        discard(likely, full)
+        tested = open_.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a bigint, b bigint, link boolean")
+        tested = materialize(tested.groupBy("a", "b").agg(F.max("link").alias("link")), "near")  # repeated ids bring repeated sets
+        out = materialize(tested.unionByName(likely.where("not could").select("a", "b", F.lit(False).alias("link"))), "window")
+        discard(likely, ids, linked_ids, full, tested)
         return out
 
     @staticmethod
@@ -258,6 +260,8 @@ class Join:
         every = materialize(self.rows(), "prefixes")
         grouped = every.where("n > 0").groupBy("digest").agg(F.min(F.struct("node", "n", "prefix")).alias("c"))
         classes = materialize(grouped.select("digest", "c.node", "c.n", "c.prefix"), "classes")
+        prefixes, every = every, materialize(every.select("id", "node", "n", "digest"), "members")
+        discard(prefixes)
         shared = materialize(self.regions(classes), "shared")
         rows = materialize(self.unlike(shared), "regions")
         discard(shared)
