@@ -34,17 +34,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, clean: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage.
 
-    The shuffle files behind it are of no more use then; a collection on the driver lets
-    Spark's cleaner delete them.
+    The shuffle files behind it are of no more use then; with ``clean``, a collection on the
+    driver lets Spark's cleaner delete them now.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if clean:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -238,13 +238,13 @@ class Join:
         first = short.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("blob_a"))
         second = short.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("blob_b"))
         joined = pairs.join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "blob_a", "blob_b")
-        likely = materialize(joined.mapInArrow(may, "a bigint, b bigint, could boolean"), "likely")
+        likely = materialize(joined.mapInArrow(may, "a bigint, b bigint, could boolean"), "likely", clean=True)
         open_ = likely.where("could").select("a", "b")
         linked_ids = materialize(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "likely-ids")
         full = materialize(only(self.docs.select("node", "text"), linked_ids).mapInArrow(sets, "node bigint, shingles binary"), "sets")
         of = lambda k: full.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
         tested = open_.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a bigint, b bigint, link boolean")
-        tested = materialize(tested.groupBy("a", "b").agg(F.max("link").alias("link")), "near")  # repeated ids bring repeated sets
+        tested = materialize(tested.groupBy("a", "b").agg(F.max("link").alias("link")), "near", clean=True)  # repeated ids bring repeated sets
         out = materialize(tested.unionByName(likely.where("not could").select("a", "b", F.lit(False).alias("link"))), "window")
         discard(likely, ids, linked_ids, full, tested)
         return out
@@ -259,10 +259,10 @@ class Join:
         """(id, node, n, class) of each document, and (node, label) of linked classes."""
         every = materialize(self.rows(), "prefixes")
         grouped = every.where("n > 0").groupBy("digest").agg(F.min(F.struct("node", "n", "prefix")).alias("c"))
-        classes = materialize(grouped.select("digest", "c.node", "c.n", "c.prefix"), "classes")
+        classes = materialize(grouped.select("digest", "c.node", "c.n", "c.prefix"), "classes", clean=True)
         prefixes, every = every, materialize(every.select("id", "node", "n", "digest"), "members")
         discard(prefixes)
-        shared = materialize(self.regions(classes), "shared")
+        shared = materialize(self.regions(classes), "shared", clean=True)
         rows = materialize(self.unlike(shared), "regions")
         discard(shared)
         tested = self.spark.createDataFrame([], "a bigint, b bigint")
@@ -276,7 +276,7 @@ class Join:
             ranked = materialize(ranked.withColumn("rank", F.row_number().over(W.partitionBy("rid").orderBy("like", "node"))).drop("like"), "ranked")
             p = ranked.where(F.col("rank") <= pivots).select("rid", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), F.col("rank").alias("rank_p"))
             fits = (100 * F.least("n", "n_p") >= wide * F.greatest("n", "n_p")) & (F.col("rank") > F.col("rank_p")) & (F.col("label") != F.col("label_p"))
-            tried = materialize(ranked.join(p, "rid").where(fits).select("rid", "node", "p", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")), "tried")
+            tried = materialize(ranked.join(p, "rid").where(fits).select("rid", "node", "p", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")), "tried", clean=True)
             pairs = materialize(tried.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
             near = materialize(known.unionByName(self.near(pairs, classes)), "known")
             older = [tested, known, labels]
@@ -293,7 +293,7 @@ class Join:
             inside = both.join(windowed.select("rid", "p"), ["rid", "p"]).join(ranked.select("rid", "node", "n"), ["rid", "node"])
             inside = inside.select(F.xxhash64("rid", "p").alias("rid"), "node", "n")
             labelled = outside.unionByName(inside).join(labels, "node", "left").select("rid", "node", "n", F.coalesce("label", "node").alias("label"))
-            labelled = materialize(labelled, "recursion")
+            labelled = materialize(labelled, "recursion", clean=True)
             open_ = labelled.groupBy("rid").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("rid")
             older += [rows, ranked, tried, pairs, found, both]
             rows = materialize(self.unlike(labelled.join(open_, "rid", "left_semi").distinct()), "regions")

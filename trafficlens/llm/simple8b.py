@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -39,19 +40,33 @@ PACKS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (
 _COUNT = np.array([1, *(c for c, _ in PACKS)] + [0], dtype=np.int64)
 
 
+_SMALL = np.array([max(1, x.bit_length()) for x in range(1 << 16)], dtype=np.uint8)
+
+
+def bit_lengths(values: np.ndarray) -> np.ndarray:
+    """Bits of each uint64, 1 at least."""
+    out = np.zeros(len(values), dtype=np.uint8)
+    for shift in (0, 16, 32, 48):
+        part = (values >> np.uint64(shift)).astype(np.uint16)
+        out = np.where(part > 0, _SMALL[part] + np.uint8(shift), out) if shift else _SMALL[part]
+        if not (values >> np.uint64(shift + 15) >> np.uint64(1)).any():
+            break
+    return out
+
+
 def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """uint64 values to (words, escapes)."""
     n = len(values)
-    wide = values >= np.uint64(1 << 60)
-    choice = np.zeros(n, dtype=np.int64)  # 0: escape
-    top = int(values.max()) if n else 0
+    bits_of = bit_lengths(values)
+    choice = np.zeros(n, dtype=np.int8)  # 0: escape
+    top = int(bits_of.max()) if n else 0
+    unfit = np.zeros(n + 1, dtype=np.int32)
     for s in range(len(PACKS), 0, -1):  # from wide to dense; the densest that fits is set last
         count, bits = PACKS[s - 1]
         if count > n:
             break
-        if top >> bits:
-            unfit = np.zeros(n + 1, dtype=np.int32)
-            np.cumsum(values >= np.uint64(1 << bits), out=unfit[1:])
+        if top > bits:
+            np.cumsum(bits_of > bits, out=unfit[1:])
             choice[: n - count + 1][unfit[count:] == unfit[: n - count + 1]] = s
         else:
             choice[: n - count + 1] = s
@@ -67,9 +82,9 @@ def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s:
             count, bits = PACKS[s - 1]
             rows = np.flatnonzero(picked == s)
-            for k in range(count):
-                words[rows] |= values[at[rows] + k] << np.uint64(bits * k)
-    return words, values[wide]
+            shifts = np.arange(count, dtype=np.uint64) * np.uint64(bits)
+            words[rows] |= np.bitwise_or.reduce(values[at[rows][:, None] + np.arange(count)] << shifts, axis=1)
+    return words, values[bits_of > 60]
 
 
 def decode_block(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -186,7 +201,7 @@ _split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPA
 class Remembered(dict):
     """What ``make`` gives for short strings, held in two generations of bounded size."""
 
-    MOST, LONGEST = 250_000, 64
+    MOST, LONGEST = 400_000, 64
 
     def __init__(self, make) -> None:
         super().__init__()
@@ -230,7 +245,12 @@ class Encoder:
         self.special = {k: np.array([v], dtype="<u4").tobytes() for k, v in special.items()}
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
         model = self.library.model
-        self.tokens = Remembered(lambda t: np.array([x.id for x in model.tokenize(t.encode().decode("latin-1").translate(_LETTERS))], dtype="<u4").tobytes())
+
+        def tokenize(t: str) -> bytes:
+            letters = "\u0120" + t[1:] if t[0] == " " and t.isascii() and t[1:].isalpha() else t.encode().decode("latin-1").translate(_LETTERS)
+            return array("I", [x.id for x in model.tokenize(letters)]).tobytes()
+
+        self.tokens = Remembered(tokenize)
         self.pieces = Remembered(lambda piece: self.encode(" " + piece))
 
     def encode(self, text: str) -> bytes:
