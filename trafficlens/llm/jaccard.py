@@ -229,25 +229,23 @@ class Join:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found.tobytes() for _, found in _sets(batch, 1, size)], pa.binary())], names=["node", "shingles"])
 
-        def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-            """Those of ``ids``: sent to all if few, as counted, or else met in a shuffle."""
-            return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+        def only(rows: DataFrame, of: DataFrame) -> DataFrame:
+            """The rows of the pairs' documents: their ids are sent to all if few, as counted, or else met in a shuffle."""
+            ids = of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            return rows.join(F.broadcast(ids) if 2 * of.count() <= BROADCAST_IDS else ids, "node", "left_semi")
 
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-ids")
-        short = only(classes.select("node", "n", "prefix"), ids)
+        short = only(classes.select("node", "n", "prefix"), pairs)
         first = short.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("blob_a"))
         second = short.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("blob_b"))
         joined = pairs.join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "blob_a", "blob_b")
         likely = materialize(joined.mapInArrow(may, "a bigint, b bigint, could boolean"), "likely", clean=True)
         open_ = likely.where("could").select("a", "b")
-        linked_ids = materialize(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "likely-ids")
-        full = materialize(only(self.docs.select("node", "text"), linked_ids).mapInArrow(sets, "node bigint, shingles binary"), "sets")
+        full = materialize(only(self.docs.select("node", "text"), open_).mapInArrow(sets, "node bigint, shingles binary"), "sets")
         of = lambda k: full.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
         tested = open_.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a bigint, b bigint, link boolean")
         tested = materialize(tested.groupBy("a", "b").agg(F.max("link").alias("link")), "near", clean=True)  # repeated ids bring repeated sets
-        out = materialize(tested.unionByName(likely.where("not could").select("a", "b", F.lit(False).alias("link"))), "window")
-        discard(likely, ids, linked_ids, full, tested)
-        return out
+        discard(full)
+        return tested.unionByName(likely.where("not could").select("a", "b", F.lit(False).alias("link")))
 
     @staticmethod
     def unlike(rows: DataFrame) -> DataFrame:
@@ -263,41 +261,41 @@ class Join:
         prefixes, every = every, materialize(every.select("id", "node", "n", "digest"), "members")
         discard(prefixes)
         shared = materialize(self.regions(classes), "shared", clean=True)
-        rows = materialize(self.unlike(shared), "regions")
-        discard(shared)
+        rows = self.unlike(shared).withColumn("label", F.col("node"))
+        older = [shared]
         tested = self.spark.createDataFrame([], "a bigint, b bigint")
-        known = self.spark.createDataFrame([], "a bigint, b bigint, link boolean")
+        near = self.spark.createDataFrame([], "a bigint, b bigint, link boolean")
         labels = self.spark.createDataFrame([], "node bigint, label bigint")
         pivots, wide = 1, max(0, 2 * self.percent - 100)
-        rows = rows.withColumn("label", F.col("node"))
-        while not rows.isEmpty():
+        while True:
             # Documents of rare components come first: the few strangers in a region of copies are its pivots.
             ranked = rows.withColumn("like", F.count(F.lit(1)).over(W.partitionBy("rid", "label")))
             ranked = materialize(ranked.withColumn("rank", F.row_number().over(W.partitionBy("rid").orderBy("like", "node"))).drop("like"), "ranked")
+            discard(*older)
+            if ranked.isEmpty():
+                break
             p = ranked.where(F.col("rank") <= pivots).select("rid", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), F.col("rank").alias("rank_p"))
             fits = (100 * F.least("n", "n_p") >= wide * F.greatest("n", "n_p")) & (F.col("rank") > F.col("rank_p")) & (F.col("label") != F.col("label_p"))
             tried = materialize(ranked.join(p, "rid").where(fits).select("rid", "node", "p", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")), "tried", clean=True)
             pairs = materialize(tried.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-            near = materialize(known.unionByName(self.near(pairs, classes)), "known")
-            older = [tested, known, labels]
-            tested, known = materialize(tested.unionByName(pairs), "tested"), near
-            labels = materialize(components(near.where("link").select("a", "b")), "labels")
+            tested = tested.unionByName(pairs)
+            near = near.unionByName(self.near(pairs, classes))
+            labels = components(near.where("link").select("a", "b"))
             # Cells and their windows; documents outside all cells.
-            found = materialize(tried.join(near, ["a", "b"]).select("rid", "node", "p", "link"), "found")
-            outside = ranked.where(F.col("rank") > pivots).join(found.where("link").select("rid", "node").distinct(), ["rid", "node"], "left_anti").select("rid", "node", "n")
             of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
-            both = found.join(of("node"), "node", "left").join(of("p"), "p", "left")
-            apart = ~F.col("link") & (F.coalesce("label_node", "node") != F.coalesce("label_p", "p"))
-            both = materialize(both.withColumn("apart", apart).where("link or apart").select("rid", "p", "node", "link"), "windows")
-            windowed = both.groupBy("rid", "p").agg(F.max((~F.col("link")).cast("int")).alias("shell"), F.max(F.col("link").cast("int")).alias("cell")).where("shell = 1 and cell = 1")
-            inside = both.join(windowed.select("rid", "p"), ["rid", "p"]).join(ranked.select("rid", "node", "n"), ["rid", "node"])
+            found = tried.join(near, ["a", "b"]).join(of("node"), "node", "left").join(of("p"), "p", "left")
+            apart = F.coalesce("label_node", "node") != F.coalesce("label_p", "p")
+            found = materialize(found.where(F.col("link") | apart).select("rid", "p", "node", "link"), "found")
+            outside = ranked.where(F.col("rank") > pivots).join(found.where("link").select("rid", "node").distinct(), ["rid", "node"], "left_anti").select("rid", "node", "n")
+            windowed = found.groupBy("rid", "p").agg(F.max((~F.col("link")).cast("int")).alias("shell"), F.max(F.col("link").cast("int")).alias("cell")).where("shell = 1 and cell = 1")
+            inside = found.join(windowed.select("rid", "p"), ["rid", "p"]).join(ranked.select("rid", "node", "n"), ["rid", "node"])
             inside = inside.select(F.xxhash64("rid", "p").alias("rid"), "node", "n")
             labelled = outside.unionByName(inside).join(labels, "node", "left").select("rid", "node", "n", F.coalesce("label", "node").alias("label"))
             labelled = materialize(labelled, "recursion", clean=True)
-            open_ = labelled.groupBy("rid").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("rid")
-            older += [rows, ranked, tried, pairs, found, both]
-            rows = materialize(self.unlike(labelled.join(open_, "rid", "left_semi").distinct()), "regions")
-            discard(*older, labelled)
+            several = labelled.groupBy("rid").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("rid")
+            rows = self.unlike(labelled.join(several, "rid", "left_semi").distinct())
+            discard(ranked, tried, found)
+            older = [labelled]
             pivots = min(512, pivots * 16)
         members = every.select("id", "node", "n", "digest").join(classes.select("digest", F.col("node").alias("class")), "digest", "left")
         return members.select("id", "node", "n", F.coalesce("class", "node").alias("class")), labels
