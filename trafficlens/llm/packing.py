@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,11 +40,13 @@ def best_fit(items: Iterable[tuple[int, object, object]], capacity: int, per_sou
     planes: list[list[int]] = []
     source_bit: dict[object, int] = {}
     cluster_bit: dict[object, int] = {}
-    opened_for: dict[tuple[int, object, object], bool] = {}
+    room_of: list[tuple[int, int]] = []  # room and time of the last change of each bin; full ones -1
+    opened_for: dict[tuple[int, object, object], int] = {}
 
     def open_bin() -> int:
         clusters.append(0)
         planes.append([0] * per_source)
+        room_of.append((-1, 0))
         return len(clusters) - 1
 
     def put(number: int, room: int) -> None:
@@ -51,7 +54,9 @@ def best_fit(items: Iterable[tuple[int, object, object]], capacity: int, per_sou
             by_room[room] = []
             insort(rooms, room)
         by_room[room].append(number)
+        room_of[number] = room, next(clock)
 
+    clock = count()
     for length, source, cluster in items:
         part = 0
         while length > capacity:
@@ -59,27 +64,26 @@ def best_fit(items: Iterable[tuple[int, object, object]], capacity: int, per_sou
             part, length = part + 1, length - capacity
         s = 0 if source is None else 1 << source_bit.setdefault(source, len(source_bit))
         c = 0 if cluster is None else 1 << cluster_bit.setdefault(cluster, len(cluster_bit))
-        found = None
-        # An equal document before this one found no place in any bin and opened one: nor does this one, whose cluster that bin has.
-        if not (c and opened_for.get((length, source, cluster))):
-            at = bisect_left(rooms, length)
-            while found is None and at < len(rooms):
-                for i, number in enumerate(by_room[rooms[at]]):
-                    if not clusters[number] & c and not planes[number][-1] & s:
-                        found = at, i, number
-                        break
-                at += 1
+        fits = lambda number, c=c, s=s: not clusters[number] & c and not planes[number][-1] & s
+        found, since = None, opened_for.get((length, source, cluster))
+        if since is not None:
+            # An equal document found no place in the bins before ``since``; what came into them since has made none fit.
+            later = [(*room_of[i], i) for i in range(since, len(room_of)) if room_of[i][0] >= length and fits(i)]
+            found = min(later)[2] if later else None
+        else:
+            for room in rooms[bisect_left(rooms, length) :]:
+                found = next(filter(fits, by_room[room]), None)
+                if found is not None:
+                    break
         if found is None:
             number, room = open_bin(), capacity
-            opened_for[length, source, cluster] = True
+            opened_for[length, source, cluster] = len(clusters) if c else len(clusters) - 1
         else:
-            at, i, number = found
-            room = rooms[at]
-            del by_room[room][i]
+            number, room = found, room_of[found][0]
+            by_room[room].remove(number)
             if not by_room[room]:
                 del by_room[room]
-                del rooms[at]
-            opened_for.pop((length, source, cluster), None)
+                del rooms[bisect_left(rooms, room)]
         clusters[number] |= c
         plane = planes[number]
         for k in range(per_source):
