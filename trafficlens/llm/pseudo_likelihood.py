@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: tuple[Numbering, Network], id_col: str = "doc_
                 around = contexts(tokens, spans.row)
                 each = np.concatenate([net.log_probability(around[i : i + BATCH], tokens[i : i + BATCH]) for i in range(0, len(tokens), BATCH)] or [np.zeros(0)])
                 n = np.diff(spans.row_start)
-                total = np.bincount(spans.row, weights=each, minlength=b - a)
+                total = np.bincount(spans.row, weights=each, minlength=b - a).astype(np.float64)
                 mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(total), pa.array(mean, pa.float64())], names=[id_col, "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
