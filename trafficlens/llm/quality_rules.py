@@ -150,13 +150,12 @@ def judge(measured: DataFrame, sketches: DataFrame, groups: list[str], min_group
     """``measured`` joined with its group's fences, giving ``base_failed`` and ``kept``."""
     own = fences(sketches, groups).where(F.col("size") >= min_group)
     own = own.select(*(F.col(g).alias(f"g_{g}") for g in groups), *(F.col(f"fence_{r}").alias(f"own_{r}") for r in RATIOS))
-    whole = fences(merge(sketches, []), [])
-    whole = whole.select(*(F.col(f"fence_{r}").alias(f"all_{r}") for r in RATIOS))
+    whole = fences(merge(sketches, []), []).first()  # one row
     on = [F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in groups]
-    joined = measured.join(own, on, "left").join(F.broadcast(whole))  # one row
+    joined = measured.join(own, on, "left")
     fine = F.lit(True)
     for name, (*_, side) in RATIOS.items():
-        fence = F.coalesce(F.col(f"own_{name}"), F.col(f"all_{name}"))
+        fence = F.coalesce(F.col(f"own_{name}"), F.lit(whole[f"fence_{name}"]).cast("bigint"))
         fine = fine & (ratio(name) <= fence if side == "high" else ratio(name) >= fence)
     return joined.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & F.coalesce(fine, F.lit(True))).alias("kept"))
 
