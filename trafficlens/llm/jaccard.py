@@ -11,7 +11,12 @@ a set within E of A lacks at most ``floor(E * |A|)`` of A's shingles, so the fir
 that the two share is among the first ``floor(E * |A|) + 1`` of either.  A is replicated
 to the cells of these, and to no others.
 
-**Cells of document pivots.**  In each region, the documents of least id are pivots and
+If that shingle stands at place i of the smaller set, the two share ``|A| - i`` at most, so
+the smaller set's i is small: such a document is ``early`` there.  Of two documents that meet in a
+region first, one at least is early, so only early ones need be pivots, and a region
+without any is dropped: documents that share no more than a common passage meet in none.
+
+**Cells of document pivots.**  In each region, the early documents of least id are pivots and
 their distances to the region's documents are computed.  Those within E of a pivot are
 linked to it and form its Voronoi cell.  By the triangle inequality, a document beyond
 ``2 * E`` of the pivot has no link into the cell.  So the cell is joined with its window,
@@ -154,7 +159,11 @@ class Join:
         return self.docs.mapInArrow(run, "id bigint, node bigint, n bigint, digest binary, prefix binary")
 
     def regions(self, classes: DataFrame) -> DataFrame:
-        """(rid, node, n) of each shingle pivot's region that holds two classes or more."""
+        """(rid, node, n, early) of each shingle pivot's region that holds two classes or more.
+
+        ``early``: whether a pair that meets here first can link with this as the smaller set.
+        """
+        percent = self.percent
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -162,13 +171,16 @@ class Join:
                     part = batch.slice(i, 256)
                     blobs = part.column(2).to_pylist()
                     many = np.array([len(b) // 8 for b in blobs])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), dtype=np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), many)), pa.array(np.repeat(np.asarray(part.column(1)), many))], names=["rid", "node", "n"])
+                    n = np.repeat(np.asarray(part.column(1)), many)
+                    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    early = (n - place) * (100 + percent) >= 2 * percent * n
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), dtype=np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), many)), pa.array(n), pa.array(early)], names=["rid", "node", "n", "early"])
 
         def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None  # the last row, if it is the first of its region: not yet known to be shared
             last = None
             for batch in batches:
-                rid, node, n = (np.asarray(c) for c in batch.columns)
+                rid, node, n, early = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
                 if not len(rid):
                     continue
                 again = np.empty(len(rid), dtype=bool)
@@ -176,16 +188,16 @@ class Join:
                 again[1:] = rid[1:] == rid[:-1]
                 keep = again.copy()
                 keep[:-1] |= again[1:]
-                rows = (rid[keep], node[keep], n[keep])
+                rows = (rid[keep], node[keep], n[keep], early[keep])
                 if held is not None and again[0]:
                     rows = tuple(np.concatenate(([h], r)) for h, r in zip(held, rows, strict=True))
-                held = None if again[-1] else (rid[-1], node[-1], n[-1])
+                held = None if again[-1] else (rid[-1], node[-1], n[-1], early[-1])
                 last = rid[-1]
                 if len(rows[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["rid", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["rid", "node", "n", "early"])
 
-        dealt = classes.select("node", "n", "prefix").mapInArrow(deal, "rid bigint, node bigint, n bigint")
-        return dealt.repartition("rid").sortWithinPartitions("rid", "node").mapInArrow(shared, "rid bigint, node bigint, n bigint")
+        dealt = classes.select("node", "n", "prefix").mapInArrow(deal, "rid bigint, node bigint, n bigint, early boolean")
+        return dealt.repartition("rid").sortWithinPartitions("rid", "node").mapInArrow(shared, "rid bigint, node bigint, n bigint, early boolean")
 
     def near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Of ``pairs`` (a, b), those that may be within ``2E``, with ``link``: whether they are within E."""
@@ -249,9 +261,9 @@ class Join:
 
     @staticmethod
     def unlike(rows: DataFrame) -> DataFrame:
-        """One of the regions that hold the same documents."""
-        marks = rows.groupBy("rid").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"))
-        return rows.join(marks.where("size > 1").groupBy("x", "y", "size").agg(F.min("rid").alias("rid")).select("rid"), "rid", "left_semi")
+        """One of the regions that hold the same documents, if a pair of them may meet there first."""
+        marks = rows.groupBy("rid").agg(F.bit_xor(F.xxhash64("node", "early")).alias("x"), F.bit_xor(F.xxhash64("node", "early", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"), F.max("early").alias("any"))
+        return rows.join(marks.where("size > 1 and any").groupBy("x", "y", "size").agg(F.min("rid").alias("rid")).select("rid"), "rid", "left_semi")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(id, node, n, class) of each document, and (node, label) of linked classes."""
@@ -270,11 +282,12 @@ class Join:
         while True:
             # Documents of rare components come first: the few strangers in a region of copies are its pivots.
             ranked = rows.withColumn("like", F.count(F.lit(1)).over(W.partitionBy("rid", "label")))
-            ranked = materialize(ranked.withColumn("rank", F.row_number().over(W.partitionBy("rid").orderBy("like", "node"))).drop("like"), "ranked")
+            ranked = materialize(ranked.withColumn("rank", F.row_number().over(W.partitionBy("rid").orderBy(F.desc("early"), "like", "node"))).drop("like"), "ranked")
             discard(*older)
             if ranked.isEmpty():
                 break
-            p = ranked.where(F.col("rank") <= pivots).select("rid", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), F.col("rank").alias("rank_p"))
+            is_pivot = F.col("early") & (F.col("rank") <= pivots)
+            p = ranked.where(is_pivot).select("rid", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), F.col("rank").alias("rank_p"))
             fits = (100 * F.least("n", "n_p") >= wide * F.greatest("n", "n_p")) & (F.col("rank") > F.col("rank_p")) & (F.col("label") != F.col("label_p"))
             tried = materialize(ranked.join(p, "rid").where(fits).select("rid", "node", "p", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")), "tried", clean=True)
             pairs = materialize(tried.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -286,11 +299,11 @@ class Join:
             found = tried.join(near, ["a", "b"]).join(of("node"), "node", "left").join(of("p"), "p", "left")
             apart = F.coalesce("label_node", "node") != F.coalesce("label_p", "p")
             found = materialize(found.where(F.col("link") | apart).select("rid", "p", "node", "link"), "found")
-            outside = ranked.where(F.col("rank") > pivots).join(found.where("link").select("rid", "node").distinct(), ["rid", "node"], "left_anti").select("rid", "node", "n")
+            outside = ranked.where(~is_pivot).join(found.where("link").select("rid", "node").distinct(), ["rid", "node"], "left_anti").select("rid", "node", "n", "early")
             windowed = found.groupBy("rid", "p").agg(F.max((~F.col("link")).cast("int")).alias("shell"), F.max(F.col("link").cast("int")).alias("cell")).where("shell = 1 and cell = 1")
-            inside = found.join(windowed.select("rid", "p"), ["rid", "p"]).join(ranked.select("rid", "node", "n"), ["rid", "node"])
-            inside = inside.select(F.xxhash64("rid", "p").alias("rid"), "node", "n")
-            labelled = outside.unionByName(inside).join(labels, "node", "left").select("rid", "node", "n", F.coalesce("label", "node").alias("label"))
+            inside = found.join(windowed.select("rid", "p"), ["rid", "p"]).join(ranked.select("rid", "node", "n", "early"), ["rid", "node"])
+            inside = inside.select(F.xxhash64("rid", "p").alias("rid"), "node", "n", "early")
+            labelled = outside.unionByName(inside).join(labels, "node", "left").select("rid", "node", "n", "early", F.coalesce("label", "node").alias("label"))
             labelled = materialize(labelled, "recursion", clean=True)
             several = labelled.groupBy("rid").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("rid")
             rows = self.unlike(labelled.join(several, "rid", "left_semi").distinct())
