@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trafficlens.llm import chroma, packing, pseudo_likelihood
@@ -121,6 +122,21 @@ def test_pseudo_likelihood(docs_of, odd):
     assert pseudo_likelihood.rate(docs_of([])).count() == 0 and pseudo_likelihood.rate(docs_of(["", None])).count() == 2
 
 
+def test_training_reaches_every_document(docs_of):
+    # All documents of one first word and length have one mark; each share of eight is tried.
+    from trafficlens.llm import textscan
+
+    marks = {}
+    for i in range(200):
+        spans = textscan.words(*textscan.buffer_of(pa.array([f"w{i} cat sat down"]), lower=True))
+        marks.setdefault(int(textscan.mix(spans.hash[:1] + np.uint64(4))[0] % np.uint64(8)), f"w{i} cat sat down")
+    for share in (2, 7):
+        rows = pseudo_likelihood.rate(docs_of([marks[share]] * 300)).collect()
+        assert all(r.mean_log_likelihood > -6 for r in rows)  # untrained: -log(1024)
+    with pytest.raises(ValueError, match="untrained"):
+        pseudo_likelihood.train(docs_of([]), rounds=2, share=8)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(4)
     net = pseudo_likelihood.Network.fresh()

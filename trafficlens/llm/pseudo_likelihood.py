@@ -8,8 +8,9 @@ masked token.  A document's score is the sum of the log probabilities of all its
 
 Counting and training cover every part of the corpus and grow with it: word counts are of all
 documents, and in each round every task trains a copy of the network on those of its
-documents whose hash falls in the round's share (one in ``share``); copies are averaged, weighted
-by their tokens, chunk by chunk in Spark.
+documents whose hash falls in the round's share (one in ``share``); there are at least as many
+rounds as shares, so every document is trained on.  Copies are averaged, weighted by their
+tokens, chunk by chunk in Spark.
 
 Edge cases: null and empty texts have no tokens, a sum of 0 and a null mean; places beyond
 either end are a token of their own; with no words at all the network stays as it began;
@@ -183,7 +184,9 @@ def frequent_words(docs: DataFrame, text_col: str, top: int) -> np.ndarray:
     return np.array([r.word for r in rows], dtype=np.int64).view(np.uint64)
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = 2, share: int = 8) -> tuple[Numbering, Network]:
+def train(docs: DataFrame, text_col: str = "text", rounds: int = 2, share: int = 2) -> tuple[Numbering, Network]:
+    if rounds < share:
+        raise ValueError("fewer rounds than shares would leave documents untrained")
     number = Numbering(frequent_words(docs, text_col, VOCAB - BUCKETS))
     net, context = Network.fresh(), docs.sparkSession.sparkContext
     for r in range(rounds):
