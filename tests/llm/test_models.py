@@ -137,6 +137,36 @@ def test_training_reaches_every_document(docs_of):
         pseudo_likelihood.train(docs_of([]), rounds=2, share=8)
 
 
+def test_words_beyond_the_vocabulary_are_scored(docs_of):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(12))
+    known = [word() for _ in range(1500)]
+    texts = [" ".join(rng.choice(known[-500:] if rng.random() < 0.02 else known[:1000]) for _ in range(60)) for _ in range(400)] + [" ".join(known)]
+    model = pseudo_likelihood.train(docs_of(texts))
+    rare, unseen = " ".join(known[-200:]), " ".join(word() for _ in range(200))
+    asked = docs_of([texts[0], rare, unseen, unseen, "", None])
+    rows = pseudo_likelihood.score(asked, model).orderBy("doc_id").collect()
+    assert rows[1].mean_log_likelihood > rows[2].mean_log_likelihood + 0.5 and np.isclose(rows[2].log_likelihood, rows[3].log_likelihood)
+    # Words and unseen mass of each bucket share its whole probability.
+    within = model.within
+    bucket = model.number(within.words) - model.number.shift
+    p = np.bincount(bucket, weights=np.exp(within(within.words, bucket)[0]), minlength=64)
+    types = np.bincount(bucket, minlength=64)
+    assert len(within.words) == 540 and np.allclose(p + (types + 1) * 0.5 / np.exp(within.log_total), 1)
+    # With a smaller table the counts are joined, to the same scores.
+    number, small, others = pseudo_likelihood.vocabulary(docs_of(texts), "text", 1200)
+    assert not small.whole and others.count() >= 300
+    joined = pseudo_likelihood.score(asked, pseudo_likelihood.Model(number, model.net, small, others)).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in joined] == [r.n_tokens for r in rows] and joined[4].log_likelihood == 0 and joined[5].mean_log_likelihood is None
+    assert np.allclose([r.log_likelihood for r in joined], [r.log_likelihood for r in rows], atol=1e-3)
+
+
+def test_vocabulary_grows():
+    assert pseudo_likelihood.sides(0) == 32 and pseudo_likelihood.sides(400_000) > 32 and pseudo_likelihood.sides(40_000_000) > 2 * pseudo_likelihood.sides(400_000)
+    net = pseudo_likelihood.Network.fresh(40, 40)
+    assert np.allclose(np.exp(net.log_probability(np.zeros((1600, 4), dtype=int), np.arange(1600))).sum(), 1, atol=1e-3)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(4)
     net = pseudo_likelihood.Network.fresh()
