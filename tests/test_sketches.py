@@ -107,6 +107,31 @@ def test_countsketch():
     assert even.estimate(b"a") == -3
 
 
+def test_countsketch_contract_takes_every_key(monkeypatch):
+    import pandas as pd
+
+    from trafficlens.plans import contracts
+
+    rng = random.Random(4)
+    pdf = pd.DataFrame({"key": [f"k{i:05d}" for i in range(3000)], "w": [rng.randrange(1, 1000) for _ in range(3000)]})
+    seen = []
+
+    class Watched(CountSketch):
+        def update(self, key, weight=1):
+            seen.append(key)
+            super().update(key, weight)
+
+    class Prefix(CountSketch):
+        def update(self, key, weight=1):
+            if key < b"k00200":
+                super().update(key, weight * 100)
+
+    monkeypatch.setattr(contracts, "CountSketch", Watched)
+    assert contracts.countsketch_holds(pdf) and set(seen) == {k.encode() for k in pdf.key}
+    monkeypatch.setattr(contracts, "CountSketch", Prefix)
+    assert not contracts.countsketch_holds(pdf)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=3000), st.floats(0, 1))
 def test_kll(values, q):
