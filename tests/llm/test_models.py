@@ -215,3 +215,18 @@ def test_chroma_search(spark):
     assert by[50]["class"] == by[3]["class"] == 3 and by[101]["class"] is None and by[50].query and not by[3].query
     assert {r.match_class for r in got if r.vec_id == 100} == {4} and set(by) == {i for i, _ in rows}
     assert all(r.match_class is None for r in got if not r.query)
+
+
+def test_render_plays_every_component(spark):
+    rng = random.Random(6)
+    base = [1.0, *tune(rng, 63)]
+    other = base[:24] + tune(rng, 40)
+    rows = [(50, base), (1, other), (2, base), (3, base[:10]), (4, None), (5, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    media = chroma.render(vectors, "vec_id", "embedding")
+    n = {r.vec_id: r.media and len(chroma.samples_of(r.media)[0]) for r in media.collect()}
+    assert n == {50: 64 * 2 * chroma.HOP, 1: 64 * 2 * chroma.HOP, 2: 64 * 2 * chroma.HOP, 3: 10 * 2 * chroma.HOP, 4: None, 5: None}
+    found = chroma.search(media, "vec_id", "media").collect()
+    by = {r.vec_id: r for r in found}
+    assert by[2]["class"] == by[50]["class"] == 2 and by[1]["class"] == 1
+    assert {r.match_class for r in found if r.vec_id == 50} == {3}  # its beginning, and not what only begins alike

@@ -31,6 +31,7 @@ from .common import drop_own, materialize
 
 RATE, FRAME, HOP = 4000, 1024, 512
 WIDTH = 8  # frames that a filter may span
+PLAYED = 256  # recordings rendered at once
 #: (kind, first class, classes, frames, thresholds): from a rule, not a table.
 FILTERS = [(k % 4, (5 * k) % 12, 2 + k % 5, 1 + k % WIDTH, (-0.25, 0.0, 0.25)) for k in range(16)]
 _GRAY = np.array([0, 1, 3, 2], dtype=np.uint64)
@@ -183,7 +184,7 @@ def search(media: DataFrame, id_col: str, media_col: str, every: int = 50) -> Da
     return members.select(id_col, "class", query).join(listed, id_col, "left")
 
 
-def render(vectors: DataFrame, id_col: str, vector_col: str, notes: int = 24) -> DataFrame:
+def render(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id_col, media): each vector played as notes of two frames, one a component, as WAV.
 
     The test tables hold no sound; this gives the operator recordings of known likeness.
@@ -193,15 +194,16 @@ def render(vectors: DataFrame, id_col: str, vector_col: str, notes: int = 24) ->
         at = np.arange(2 * HOP) / RATE
         table = np.sin(2 * np.pi * 110 * 2 ** (np.arange(36) / 12)[:, None] * at) * 0.5
         for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                if not v or any(x is None for x in v):
-                    out.append(None)
-                    continue
-                v = np.resize(np.array(v, dtype=np.float64), notes)
-                scale = np.abs(v).max() or 1.0
-                out.append(wav_bytes(table[np.clip(np.round((v / scale + 1) * 17.5), 0, 35).astype(int)].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "media"])
+            for i in range(0, batch.num_rows, PLAYED):
+                part, out = batch.slice(i, PLAYED), []
+                for v in part.column(1).to_pylist():
+                    if not v or any(x is None for x in v):
+                        out.append(None)
+                        continue
+                    v = np.array(v, dtype=np.float64)
+                    scale = np.abs(v).max() or 1.0
+                    out.append(wav_bytes(table[np.clip(np.round((v / scale + 1) * 17.5), 0, 35).astype(int)].ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=[id_col, "media"])
 
     inner = vectors.select(id_col, vector_col)
     return inner.mapInArrow(run, f"`{id_col}` {inner.schema[0].dataType.simpleString()}, media binary")
