@@ -230,3 +230,26 @@ def test_render_plays_every_component(spark):
     by = {r.vec_id: r for r in found}
     assert by[2]["class"] == by[50]["class"] == 2 and by[1]["class"] == 1
     assert {r.match_class for r in found if r.vec_id == 50} == {3}  # its beginning, and not what only begins alike
+
+
+def test_alignment_finds_all_that_brute_force_does(spark):
+    rng = random.Random(9)
+    words = lambda n: [rng.randrange(1 << 32) for _ in range(n)]
+    a, b, c, held = words(12), words(12), words(12), [7] * 30
+    own = {1: a + b + a + c, 2: a + c, 3: b + b + a, 4: words(5) + held + c, 5: held + words(3), 6: held + c + held, 7: words(40), 8: c[:2] + b[2:] + a, 9: words(3)}
+    least = (3, 8, 0.15)
+    want = set()
+    for q, x in own.items():
+        for k, y in own.items():
+            x, y = np.array(x), np.array(y)
+            for o in range(-len(y) + 1, len(x)) if q != k else ():
+                i, j = max(o, 0), max(-o, 0)
+                n, error = chroma.bit_errors(x, y, o)
+                hits = int((x[i : i + n] == y[j : j + n]).sum())
+                if hits >= least[0] and n >= least[1] and error <= least[2]:
+                    want.add((q, k, o, hits, n, round(error, 9)))
+    table = spark.createDataFrame(list(own.items()), "class long, prints array<bigint>")
+    got = [(*r[:5], round(r[5], 9)) for r in chroma.align(table, table, "class", *least).collect()]
+    assert set(got) <= want and sorted((r[0], r[1]) for r in got) == sorted({(r[0], r[1]) for r in want})
+    assert (2, 1, -24, 24, 24, 0.0) in got  # the second copy of a
+    assert all(r[3] == max(w[3] for w in want if w[:2] == r[:2]) for r in got)

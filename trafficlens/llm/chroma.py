@@ -8,7 +8,7 @@ differing bits there says how alike they are.
 
 Recordings of equal fingerprints are one class.  The search joins the integers of query
 classes with those of all classes; integers are met in a shuffle that Spark can split, and
-each pair of classes is a row of (offset, hits) before its bits are compared.
+each pair of classes is a list of (offset, hits) before its bits are compared.
 
 Edge cases: null, broken or too short audio has no fingerprint: class null, no matches;
 silence has a fingerprint like any other; repeated rows are of one class; an empty table
@@ -137,26 +137,53 @@ def bit_errors(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[int, float]:
     return n, float(np.bitwise_count(x[a : a + n].astype(np.uint32) ^ y[b : b + n].astype(np.uint32)).sum() / (32 * n))
 
 
+def runs(prints: DataFrame) -> DataFrame:
+    """(class, value, at, long): each integer of (class, prints), once for as long as it is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, PLAYED):
+                part = batch.slice(i, PLAYED)
+                owner, lists = part.column(0).to_numpy(zero_copy_only=False), part.column(1)
+                n = np.array([len(x) for x in lists])
+                x, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+                at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (row[1:] != row[:-1]))))
+                place = at - (np.cumsum(n) - n)[row[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(owner[row[at]], pa.int64()), pa.array(x[at], pa.int64()), pa.array(place, pa.int32()), pa.array(np.diff(np.append(at, len(x))), pa.int32())], names=["class", "value", "at", "long"])
+
+    return prints.select("class", "prints").mapInArrow(run, "class bigint, value bigint, at int, long int")
+
+
 def align(prints: DataFrame, queries: DataFrame, id_col: str, min_hits: int = 3, min_overlap: int = 8, max_error: float = 0.15) -> DataFrame:
     """(query_class, class, offset, hits, overlap, bit_error) of classes alike, of ``class_of`` tables.
 
-    ``prints`` and ``queries`` are (class, prints).  Each integer of a class counts once, at its
-    first place, so a held note doesn't multiply rows.
+    ``prints`` and ``queries`` are (class, prints).  Every place of an integer counts: two runs of one
+    integer give each offset at which they overlap the length of the overlap, so a held note
+    gives rows by its length and not by the square.  Every offset of ``min_hits`` is tested; of
+    those that pass, a pair has the one of most hits, then the nearest.
     """
-    places = lambda df, k, at: df.select(F.col("class").alias(k), F.posexplode("prints").alias("pos", "value")).groupBy(k, "value").agg(F.min("pos").alias(at))
-    hits = places(queries, "q", "at_q").join(places(prints, "c", "at_c"), "value").where("q != c")
-    offsets = hits.groupBy("q", "c", (F.col("at_q") - F.col("at_c")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
-    best = offsets.groupBy("q", "c").agg(F.max(F.struct("hits", (-F.abs("offset")).alias("near"), "offset")).alias("b")).where(F.col("b.hits") >= min_hits)
-    pairs = best.select("q", "c", "b.offset", "b.hits")
+    named = lambda df, k: runs(df).select(F.col("class").alias(k), "value", F.col("at").alias(f"at_{k}"), F.col("long").alias(f"long_{k}"))
+    met = named(queries, "q").join(named(prints, "c"), "value").where("q != c").selectExpr("q", "c", "long_q", "long_c", "at_q - at_c - long_c + 1 as lo", "at_q + long_q - 1 - at_c as hi")
+    each = met.select("*", F.explode(F.sequence("lo", "hi")).alias("offset"))
+    offsets = each.groupBy("q", "c", "offset").agg(F.sum(F.least(F.expr("offset - lo + 1"), F.expr("hi - offset + 1"), "long_q", "long_c")).cast("bigint").alias("hits")).where(F.col("hits") >= min_hits)
+    pairs = offsets.groupBy("q", "c").agg(F.sort_array(F.collect_list(F.struct("hits", (-F.abs("offset")).alias("near"), "offset")), False).alias("tried"))
     joined = pairs.join(queries.select(F.col("class").alias("q"), F.col("prints").alias("x")), "q").join(prints.select(F.col("class").alias("c"), F.col("prints").alias("y")), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [bit_errors(np.array(x), np.array(y), o) for x, y, o in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([n for n, _ in got], pa.int64()), pa.array([e for _, e in got], pa.float64())], names=["query_class", "class", "offset", "hits", "overlap", "bit_error"])
-
-    out = joined.select("q", "c", "offset", "hits", "x", "y").mapInArrow(run, "query_class bigint, class bigint, offset int, hits bigint, overlap bigint, bit_error double")
-    return out.where((F.col("overlap") >= min_overlap) & (F.col("bit_error") <= max_error))
+            rows = []
+            for q, c, tried, x, y in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                x, y = np.array(x, dtype=np.uint32), np.array(y, dtype=np.uint32)
+                for t in tried:
+                    overlap, error = bit_errors(x, y, t["offset"])
+                    if overlap >= min_overlap and error <= max_error:
+                        rows.append((q, c, t["offset"], t["hits"], overlap, error))
+                        break
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["query_class", "class", "offset", "hits", "overlap", "bit_error"])
+
+    return joined.select("q", "c", "tried", "x", "y").mapInArrow(run, "query_class bigint, class bigint, offset int, hits bigint, overlap bigint, bit_error double")
 
 
 def classes(found: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
