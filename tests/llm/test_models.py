@@ -253,3 +253,29 @@ def test_alignment_finds_all_that_brute_force_does(spark):
     assert set(got) <= want and sorted((r[0], r[1]) for r in got) == sorted({(r[0], r[1]) for r in want})
     assert (2, 1, -24, 24, 24, 0.0) in got  # the second copy of a
     assert all(r[3] == max(w[3] for w in want if w[:2] == r[:2]) for r in got)
+
+
+def test_chroma_reads_all_widths_and_rates(spark):
+    import io
+    import wave
+
+    notes = tune(random.Random(10), 40)
+
+    def media(rate, width):
+        at = np.arange(int(0.256 * rate)) / rate
+        x = np.concatenate([0.5 * np.sin(2 * np.pi * 220 * 2 ** (round(v * 12) / 12) * at) for v in notes])
+        scaled = np.round(x * (2 ** (8 * width - 1) - 1)).astype(np.int64) + (128 if width == 1 else 0)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(width)
+            w.setframerate(rate)
+            w.writeframes(scaled.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+        return out.getvalue()
+
+    kinds = [(4000, 2), (4000, 1), (4000, 3), (4000, 4), (8000, 2), (44100, 3)]
+    table = spark.createDataFrame([(i, bytearray(media(*k))) for i, k in enumerate(kinds)], "id long, media binary")
+    prints = {r.id: r.prints for r in chroma.fingerprints(table, "id", "media").collect()}
+    for i in range(1, len(kinds)):
+        n, error = chroma.bit_errors(np.array(prints[0]), np.array(prints[i]), 0)
+        assert abs(len(prints[i]) - len(prints[0])) <= 1 and n > 60 and error < 0.15

@@ -1,6 +1,6 @@
 """Chroma audio fingerprints: from WAV bytes to packed integers, and their alignment.
 
-Frames of audio are folded to twelve pitch classes.  Sixteen filters, differences of rectangle sums over
+PCM of 8, 16, 24 and 32 bits is brought to one rate.  Frames of audio are folded to twelve pitch classes.  Sixteen filters, differences of rectangle sums over
 frames and classes, are read off an integral image; each gives two bits by three
 thresholds, in Gray code, so a frame is an unsigned 32-bit integer.  Two recordings share integers
 at one offset more than at others: offset histograms name the offset, and the share of
@@ -52,14 +52,27 @@ def samples_of(media: bytes | None) -> tuple[np.ndarray, int] | None:
     """Mono samples and rate of a PCM WAV, or None if it can't be read."""
     try:
         with wave.open(io.BytesIO(media or b""), "rb") as w:
-            if w.getsampwidth() != 2:
-                return None
-            raw = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").astype(np.float64) / 32768
-            return raw.reshape(-1, w.getnchannels()).mean(1), w.getframerate()
+            width, rate, channels = w.getsampwidth(), w.getframerate(), w.getnchannels()
+            data = np.frombuffer(w.readframes(w.getnframes()), dtype=np.uint8).reshape(-1, width)
+            if width == 1:  # unsigned
+                raw = (data[:, 0].astype(np.float64) - 128) / 128
+            else:  # little-endian, as the high bytes of 32 bits
+                whole = np.zeros((len(data), 4), dtype=np.uint8)
+                whole[:, 4 - width :] = data
+                raw = whole.view("<i4")[:, 0] / 2.0**31
+            return (raw.reshape(-1, channels).mean(1), rate) if rate > 0 else None
     except (wave.Error, EOFError, ValueError):
         return None
 
 
+def resample(samples: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
+    """The sound at another rate, through its spectrum, without what the lower rate can't hold."""
+    n = round(len(samples) * to / rate)
+    if rate == to or not n:
+        return samples[:n]
+    return np.fft.irfft(np.fft.rfft(samples)[: n // 2 + 1], n) * (n / len(samples))
+
+
 _classes: dict[int, np.ndarray] = {}
 
 
@@ -120,7 +133,7 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
             out = []
             for x in batch.column(1):
                 read = samples_of(x.as_py())
-                got = fingerprint(chroma(*read)) if read else ()
+                got = fingerprint(chroma(resample(*read), RATE)) if read else ()
                 out.append(got.astype(np.int64).tolist() if len(got) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=[id_col, "prints"])
 
