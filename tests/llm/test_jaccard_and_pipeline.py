@@ -65,7 +65,7 @@ def test_join_equals_brute_force(docs_of, odd, seed):
     texts = corpus(seed) + odd
     ids = list(range(1000, 1000 + len(texts)))
     random.Random(seed).shuffle(ids)
-    ids[3] = None
+    ids[3], ids[7], ids[11] = None, (1 << 63) - 1, (1 << 62) + 3
     want = dict(zip(ids, brute(texts, ids), strict=True))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(docs_of(texts, ids), common=8).collect()}
     assert got == want
@@ -77,6 +77,13 @@ def test_one_stays(docs_of):
     assert jaccard.link_components(docs_of([])).count() == 0
 
 
+def test_one_row_stays_of_repeated_and_null_ids(docs_of):
+    same, near, other = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y Z", "quite another text of more than five words here"
+    kept = sorted((r.doc_id or -1, r.text or "") for r in jaccard.keep_one(docs_of([same, same, near, near + " end", other, other, other + "!", ""], [5, 5, 5, 9, None, None, 7, 5])).collect())
+    assert len(kept) == 3 + 1 and kept[0] == (-1, other) and (5, "") in kept and (7, other + "!") in kept and sum(i == 5 for i, _ in kept) == 2
+    assert {(r.doc_id, r.component_id) for r in jaccard.link_components(docs_of([same, near, other], [(1 << 63) - 1, (1 << 62) + 1, None])).collect()} == {((1 << 63) - 1, (1 << 62) + 1), ((1 << 62) + 1, (1 << 62) + 1), (None, None)}
+
+
 def test_both_ways_of_joining_components(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,13 +19,15 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) a temporary folder is made and set.
+    Only a local session (a test) may name none: a temporary folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="trafficlens-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -34,18 +38,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, clean: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage.
-
-    The shuffle files behind it are of no more use then; with ``clean``, a collection on the
-    driver lets Spark's cleaner delete them now.
-    """
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    if clean:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -105,10 +102,26 @@ def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for mapInArrow; its worker gives back free memory at the end, so that idle workers hold little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield f(batch)
 
-    return run
+    return lean(run)

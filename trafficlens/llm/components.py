@@ -45,7 +45,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], names=["node", "label"])
 
 
-def components(edges: DataFrame, max_steps: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """``edges`` (a, b) to (node, label): each node of an edge but the least of its component, and that least.
 
     Edges are counted: up to ``one_task`` of them, a few MB, are joined in one task on an
@@ -55,11 +55,10 @@ def components(edges: DataFrame, max_steps: int = 60, one_task: int = ONE_TASK)
     if now.count() <= one_task:
         return materialize(now.coalesce(1).mapInArrow(_forest, "node bigint, label bigint"), "labels")
     mark = None
-    for _ in range(max_steps):
+    while True:
         before, now = now, materialize(_star(_star(now, True), False), "stars")
         discard(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
         mark = seen
-    raise RuntimeError("components did not settle")

@@ -11,54 +11,54 @@ a set within E of A lacks at most ``floor(E * |A|)`` of A's shingles, so the fir
 that the two share is among the first ``floor(E * |A|) + 1`` of either.  A is replicated
 to the cells of these, and to no others.
 
-If that shingle stands at place i of the smaller set, the two share ``|A| - i`` at most, so
-the smaller set's i is small: such a document is ``early`` there.  Of two documents that meet in a
-region first, one at least is early, so only early ones need be pivots, and a region
-without any is dropped: documents that share no more than a common passage meet in none.
-
-**Cells of document pivots.**  In each region, the early documents of least id are pivots and
-their distances to the region's documents are computed.  Those within E of a pivot are
-linked to it and form its Voronoi cell.  By the triangle inequality, a document beyond
-``2 * E`` of the pivot has no link into the cell.  So the cell is joined with its window,
-the documents between E and 2E, as a region of its own, and the documents outside
-all cells form another; both recurse without the pivots, until a region has one
-component or none.  Every link between two components is found, none is guessed; links within
-a component that is known already needn't be.
-
-A pair's distance is bounded first from the two prefixes alone: beyond 2E it is outside the
-window, beyond E it is in the window at most, and only a pair that may be within E is
-computed from whole sets.
+**Reach.**  If the first shingle that A and B share stands at place i of A, they share
+``|A| - i`` at most, so a link needs ``|B| <= (1 + 1 / t) * (|A| - i) - |A|`` for similarity
+t.  This is A's reach in that region.  Two documents are compared in a region only if each
+is within the other's reach; where they meet again at a later shingle, the first meeting
+has settled them.  As ``d`` is at least ``1 - |A| / |B|``, regions are cut into rings by size,
+and a ring's smaller neighbours visit it only as far as they reach.
+
+**Cells of document pivots.**  In each region some documents are pivots, and what is within
+reach of them is compared by whole sets.  Those within E of a pivot are linked to it; each
+goes to the Voronoi cell of its nearest pivot.  By the triangle inequality, a document
+beyond ``2 * E`` of the pivot has no link into the cell; all others of the region whose
+component is another are the cell's window.  Cell and window are a region of its own
+in which cell meets window; the documents outside all cells form another.  Both recurse without
+the pivots, until nothing in a region may still link two components.  Every link between
+two components is found, none is guessed; links within a component that is known already
+needn't be.
 
 Common shingles: a shingle found twice within one task's stretch is counted over all
 stretches; those in ``common`` documents or more are put last in the order.  The order can
-be any for the result to be exact; this one keeps regions small.
+be any for the result to be exact; this one keeps regions small.  The list has at most
+``MOST_COMMON`` entries, the most common first, so a shingle that isn't in it has at most one
+in ``MOST_COMMON`` of all places, or one place a stretch; only such are gathered by shingle in one task.
 
 Shingles are 64-bit hashes of five lower-cased (A-Z) words.  Edge cases: fewer words than
 five are one shingle; no words or null: no shingles, linked with nothing; equal sets are
 one class, collapsed before the join; rows are judged each by its own text also if ids
-repeat; a null id has the component of its links, or null; an empty table gives an empty
-table; other columns are ignored.
+repeat; any bigint is an id; a null id has the component of its links, or null; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import byte_sizes, discard, materialize, slices
+from .common import byte_sizes, discard, lean, materialize, slices
 from .components import components
 
-NO_ID = 1 << 62  # documents without an id are numbered from here by a hash of their text
 STRETCH = 1 << 21  # shingles that a task counts at once
 MOST_COMMON = 1 << 18  # entries of the broadcast list of common shingles (3 MB)
-BROADCAST_IDS = 500_000
+SCREEN_BITS = 1 << 26  # of the table of wanted texts (8 MB)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -77,6 +77,10 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def digest_of(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def _sets(batch: pa.RecordBatch, at: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
     texts = batch.column(at)
     sizes = byte_sizes(texts)
@@ -107,7 +111,7 @@ def common_shingles(docs: DataFrame, text_col: str, size: int, common: int) -> t
         if held:
             yield flush(held)
 
-    counts = docs.select(text_col).mapInArrow(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= common)
+    counts = docs.select(text_col).mapInArrow(lean(run), "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= common)
     counts = materialize(counts.select("s", F.floor(F.log2("n")).cast("int").alias("power")), "common")
     least, total = 99, 0
     for r in sorted(counts.groupBy("power").count().collect(), key=lambda r: -r.power):
@@ -135,15 +139,19 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def reach(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The largest size of a set that can link with one of ``n`` if the first shared shingle stands at ``place``."""
+    return (100 + percent) * (n - place) // percent - n
+
+
 class Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, common: int) -> None:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
-        node = F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text_col).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(NO_ID))
-        self.docs = docs.select(F.col(id_col).cast("bigint").alias("id"), node.alias("node"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
         self.common = self.spark.sparkContext.broadcast(common_shingles(docs, text_col, size, common))
 
     def rows(self) -> DataFrame:
-        """(id, node, n, digest, prefix) of each document."""
+        """(id, mark, n, digest, prefix) of each document."""
         size, common, percent = self.size, self.common, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,36 +159,41 @@ class Join:
                 n, digests, prefixes = [], [], []
                 for _, found in _sets(batch, 2, size):
                     n.append(len(found))
-                    digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                    digests.append(digest_of(found) if len(found) else None)
                     prefixes.append(ordered(found, common.value, prefix_length(len(found), percent)).tobytes() if len(found) else None)
                 if n:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], names=["id", "node", "n", "digest", "prefix"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], names=["id", "mark", "n", "digest", "prefix"])
 
-        return self.docs.mapInArrow(run, "id bigint, node bigint, n bigint, digest binary, prefix binary")
+        return self.docs.mapInArrow(lean(run), "id bigint, mark bigint, n bigint, digest binary, prefix binary")
 
     def regions(self, classes: DataFrame) -> DataFrame:
-        """(rid, node, n, early) of each shingle pivot's region that holds two classes or more.
-
-        ``early``: whether a pair that meets here first can link with this as the smaller set.
-        """
-        percent = self.percent
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    part = batch.slice(i, 256)
-                    blobs = part.column(2).to_pylist()
-                    many = np.array([len(b) // 8 for b in blobs])
-                    n = np.repeat(np.asarray(part.column(1)), many)
-                    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    early = (n - place) * (100 + percent) >= 2 * percent * n
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), dtype=np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), many)), pa.array(n), pa.array(early)], names=["rid", "node", "n", "early"])
+        """(rid, node, n, reach) of each shingle pivot's cell and window, where two classes or more may meet."""
+        percent, common = self.percent, self.common
+
+        def deal(hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                known = common.value[0]
+                for batch in batches:
+                    for i in range(0, batch.num_rows, 256):
+                        part = batch.slice(i, 256)
+                        blobs = part.column(2).to_pylist()
+                        many = np.array([len(b) // 8 for b in blobs])
+                        n = np.repeat(np.asarray(part.column(1)), many)
+                        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        rid = np.frombuffer(b"".join(blobs), dtype=np.int64)
+                        listed = np.isin(rid.view(np.uint64), known) if len(known) else np.zeros(len(rid), dtype=bool)
+                        keep = listed if hot else ~listed
+                        node = np.repeat(np.asarray(part.column(0)), many)
+                        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rid, node, n, reach(n, place, percent))], names=["rid", "node", "n", "reach"])
+
+            return lean(run)
 
         def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None  # the last row, if it is the first of its region: not yet known to be shared
             last = None
             for batch in batches:
-                rid, node, n, early = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                rid = columns[0]
                 if not len(rid):
                     continue
                 again = np.empty(len(rid), dtype=bool)
@@ -188,140 +201,180 @@ class Join:
                 again[1:] = rid[1:] == rid[:-1]
                 keep = again.copy()
                 keep[:-1] |= again[1:]
-                rows = (rid[keep], node[keep], n[keep], early[keep])
+                rows = [c[keep] for c in columns]
                 if held is not None and again[0]:
-                    rows = tuple(np.concatenate(([h], r)) for h, r in zip(held, rows, strict=True))
-                held = None if again[-1] else (rid[-1], node[-1], n[-1], early[-1])
+                    rows = [np.concatenate(([h], r)) for h, r in zip(held, rows, strict=True)]
+                held = None if again[-1] else [c[-1] for c in columns]
                 last = rid[-1]
                 if len(rows[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["rid", "node", "n", "early"])
+                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=batch.schema.names)
 
-        dealt = classes.select("node", "n", "prefix").mapInArrow(deal, "rid bigint, node bigint, n bigint, early boolean")
-        return dealt.repartition("rid").sortWithinPartitions("rid", "node").mapInArrow(shared, "rid bigint, node bigint, n bigint, early boolean")
+        kind = "rid bigint, node bigint, n bigint, reach bigint"
+        source = classes.select("node", "n", "prefix")
+        few = source.mapInArrow(deal(False), kind).repartition("rid").sortWithinPartitions("rid").mapInArrow(lean(shared), kind)
+        return few.unionByName(source.mapInArrow(deal(True), kind))
 
-    def near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Of ``pairs`` (a, b), those that may be within ``2E``, with ``link``: whether they are within E."""
-        common, size, percent = self.common, self.size, self.percent
-        wide = max(0, 2 * percent - 100)
+    def rings(self, shared: DataFrame) -> DataFrame:
+        """(rid, node, n, reach, side): regions by size, and of regions with the same documents one.
 
-        def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, powers = common.value
-            for batch in batches:
-                a, b, n_a, n_b, blob_a, blob_b = (c.to_pylist() for c in batch.columns)
-                good, could = [], []
-                for i in range(len(a)):
-                    x, y = np.frombuffer(blob_a[i], dtype=np.uint64), np.frombuffer(blob_b[i], dtype=np.uint64)
-                    both = np.concatenate((x, y))
-                    values, inverse = np.unique(both, return_inverse=True)
-                    power = np.zeros(len(values), dtype=np.uint8)
-                    if len(hashes):
-                        at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
-                        power = np.where(hashes[at] == values, powers[at], 0)
-                    rank = np.empty(len(values), dtype=np.int64)
-                    rank[np.argsort(power, kind="stable")] = np.arange(len(values))
-                    rank = rank[inverse]
-                    last = min(rank[len(x) - 1], rank[-1])
-                    inside_x, inside_y = int((rank[: len(x)] <= last).sum()), int((rank[len(x) :] <= last).sum())
-                    most = len(both) - len(values) + min(n_a[i] - inside_x, n_b[i] - inside_y)
-                    if 100 * most >= wide * (n_a[i] + n_b[i] - most):
-                        good.append(i)
-                        could.append(100 * most >= percent * (n_a[i] + n_b[i] - most))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64())), pa.array(could, pa.bool_())], names=["a", "b", "could"])
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                link = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    link.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_())], names=["a", "b", "link"])
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        A ring spans sizes up to ``100 / percent`` times its least.  A set is at home in its
+        own ring (side 1) and a visitor (side 2) in the next if its reach ends there.
+        """
+        width = math.log(100 / self.percent) if self.percent < 100 else 1.0
+        ring = lambda c: F.floor(F.log(F.col(c).cast("double")) / width + 1e-9)
+        at = shared.withColumn("home", ring("n")).withColumn("last", F.when(F.col("reach") >= F.col("n"), F.greatest(ring("reach"), "home")).otherwise(F.col("home")))
+        dealt = at.select(F.explode(F.sequence("home", "last")).alias("ring"), "rid", "home", "node", "n", "reach")
+        dealt = dealt.select(F.xxhash64("rid", "ring").alias("rid"), "node", "n", "reach", F.when(F.col("ring") == F.col("home"), 1).otherwise(2).alias("side"))
+        early = F.min(F.when(F.col("reach") >= F.col("n"), F.col("n")))
+        marks = dealt.groupBy("rid").agg(F.bit_xor(F.xxhash64("node", "side")).alias("x"), F.bit_xor(F.xxhash64("node", "side", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"), early.alias("least"), F.max("reach").alias("most"), F.min("side").alias("home"))
+        marks = marks.where("size > 1 and least is not null and home = 1")
+        live = dealt.join(marks, "rid").where("n <= most and reach >= least")
+        return live.groupBy(F.xxhash64("x", "y", "size").alias("rid"), "node").agg(F.first("n").alias("n"), F.max("reach").alias("reach"), F.min("side").alias("side"))
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the ``wanted`` (node, mark, digest).
+
+        A bit table of bounded size passes over most other texts; what it lets through by
+        chance meets no digest and goes.
+        """
+        size = self.size
+        bits = min(SCREEN_BITS, 1 << max(10, (16 * wanted.count()).bit_length()))
+        words = wanted.select(F.col("mark").bitwiseAND(bits - 1).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toPandas()
+        table = np.zeros(bits // 64, dtype=np.uint64)
+        table[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).view(np.uint64)
+        screen = self.spark.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found.tobytes() for _, found in _sets(batch, 1, size)], pa.binary())], names=["node", "shingles"])
-
-        def only(rows: DataFrame, of: DataFrame) -> DataFrame:
-            """The rows of the pairs' documents: their ids are sent to all if few, as counted, or else met in a shuffle."""
-            ids = of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            return rows.join(F.broadcast(ids) if 2 * of.count() <= BROADCAST_IDS else ids, "node", "left_semi")
-
-        short = only(classes.select("node", "n", "prefix"), pairs)
-        first = short.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("blob_a"))
-        second = short.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("blob_b"))
-        joined = pairs.join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "blob_a", "blob_b")
-        likely = materialize(joined.mapInArrow(may, "a bigint, b bigint, could boolean"), "likely", clean=True)
-        open_ = likely.where("could").select("a", "b")
-        full = materialize(only(self.docs.select("node", "text"), open_).mapInArrow(sets, "node bigint, shingles binary"), "sets")
-        of = lambda k: full.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
-        tested = open_.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a bigint, b bigint, link boolean")
-        tested = materialize(tested.groupBy("a", "b").agg(F.max("link").alias("link")), "near", clean=True)  # repeated ids bring repeated sets
-        discard(full)
-        return tested.unionByName(likely.where("not could").select("a", "b", F.lit(False).alias("link")))
+                mark = np.asarray(batch.column(0)).view(np.uint64)
+                at = mark & np.uint64(bits - 1)
+                held = np.flatnonzero(screen.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+                picked = [i for i in held.tolist() if not (mark[i] in seen or seen.add(mark[i]))]
+                for a in range(0, len(picked), 512):
+                    some = batch.take(pa.array(picked[a : a + 512], pa.int64()))
+                    found = [s for _, s in _sets(some, 1, size) if len(s)]
+                    if found:
+                        flat = pa.array(np.concatenate(found).view(np.int64))
+                        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), flat)
+                        yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in found], pa.binary()), lists], names=["digest", "shingles"])
+
+        found = self.docs.select("mark", "text").mapInArrow(lean(run), "digest binary, shingles array<bigint>")
+        return found.join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    def test(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b, shared, union, link, near) of pairs of classes, from their whole sets."""
+        of = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
+        joined = pairs.join(of("a"), "a").join(of("b"), "b")
+        shared = joined.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("bigint").alias("shared"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("both"))
+        shared = shared.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("union"))
+        return shared.select("*", (100 * F.col("shared") >= self.percent * F.col("union")).alias("link"), (100 * F.col("shared") >= max(0, 2 * self.percent - 100) * F.col("union")).alias("near"))
 
     @staticmethod
-    def unlike(rows: DataFrame) -> DataFrame:
-        """One of the regions that hold the same documents, if a pair of them may meet there first."""
-        marks = rows.groupBy("rid").agg(F.bit_xor(F.xxhash64("node", "early")).alias("x"), F.bit_xor(F.xxhash64("node", "early", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"), F.max("early").alias("any"))
-        return rows.join(marks.where("size > 1 and any").groupBy("x", "y", "size").agg(F.min("rid").alias("rid")).select("rid"), "rid", "left_semi")
+    def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("label", F.col("node"))
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def run(self) -> tuple[DataFrame, DataFrame]:
-        """(id, node, n, class) of each document, and (node, label) of linked classes."""
+    @staticmethod
+    def live(rows: DataFrame) -> DataFrame:
+        """``rows`` (with label) that may have a partner of another label in their region, with the region's largest label."""
+        early = F.min(F.when(F.col("reach") >= F.col("n"), F.col("n")))
+        by_label = rows.groupBy("rid", "label").agg(F.count(F.lit(1)).alias("like"), early.alias("least"), F.max("reach").alias("most"), F.min("side").alias("home"))
+        region = by_label.groupBy("rid").agg(F.max_by("label", F.struct("like", "label")).alias("big"), F.count(F.lit(1)).alias("labels"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("home").alias("home"))
+        region = region.where("labels > 1 and least is not null and home = 1").select("rid", "big", "least", "most")
+        return rows.join(region, "rid").where("n <= most and reach >= least").drop("least", "most")
+
+    def run(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """(id, n, digest) of each document; (digest, node, least) of each class; (node, label) of linked classes."""
         every = materialize(self.rows(), "prefixes")
-        grouped = every.where("n > 0").groupBy("digest").agg(F.min(F.struct("node", "n", "prefix")).alias("c"))
-        classes = materialize(grouped.select("digest", "c.node", "c.n", "c.prefix"), "classes", clean=True)
-        prefixes, every = every, materialize(every.select("id", "node", "n", "digest"), "members")
-        discard(prefixes)
-        shared = materialize(self.regions(classes), "shared", clean=True)
-        rows = self.unlike(shared).withColumn("label", F.col("node"))
-        older = [shared]
-        tested = self.spark.createDataFrame([], "a bigint, b bigint")
-        near = self.spark.createDataFrame([], "a bigint, b bigint, link boolean")
-        labels = self.spark.createDataFrame([], "node bigint, label bigint")
-        pivots, wide = 1, max(0, 2 * self.percent - 100)
+        grouped = every.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("mark").alias("mark"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+        shared = materialize(self.regions(classes), "shared")
+        rows = materialize(self.rings(shared), "rings")
+        wanted = rows.select("node").distinct().join(classes.select("node", "mark", "digest"), "node")
+        sets = materialize(self.sets(materialize(wanted, "wanted")), "sets")
+        discard(shared)
+        members, classes = every.select("id", "n", "digest"), classes.select("digest", "node", "least")
+        labels, older, buckets = None, [rows], 1
         while True:
-            # Documents of rare components come first: the few strangers in a region of copies are its pivots.
-            ranked = rows.withColumn("like", F.count(F.lit(1)).over(W.partitionBy("rid", "label")))
-            ranked = materialize(ranked.withColumn("rank", F.row_number().over(W.partitionBy("rid").orderBy(F.desc("early"), "like", "node"))).drop("like"), "ranked")
+            live = materialize(self.live(self.labelled(rows, labels)), "live")
             discard(*older)
-            if ranked.isEmpty():
+            chosen = live.where("label != big" if labels is not None else "true").groupBy("rid", F.pmod(F.xxhash64("node", F.lit(buckets)), F.lit(buckets)).alias("bucket"))
+            pivots = chosen.agg(F.min(F.struct((F.col("reach") < F.col("n")).alias("late"), "node", "n", "reach", "side", "label")).alias("v"))
+            pivots = materialize(pivots.select("rid", *(F.col(f"v.{c}").alias(c if c == "rid" else f"{c}_p") for c in ("node", "n", "reach", "side", "label"))), "pivots")
+            if pivots.isEmpty():
+                discard(live, pivots)
                 break
-            is_pivot = F.col("early") & (F.col("rank") <= pivots)
-            p = ranked.where(is_pivot).select("rid", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), F.col("rank").alias("rank_p"))
-            fits = (100 * F.least("n", "n_p") >= wide * F.greatest("n", "n_p")) & (F.col("rank") > F.col("rank_p")) & (F.col("label") != F.col("label_p"))
-            tried = materialize(ranked.join(p, "rid").where(fits).select("rid", "node", "p", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")), "tried", clean=True)
-            pairs = materialize(tried.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-            tested = tested.unionByName(pairs)
-            near = near.unionByName(self.near(pairs, classes))
-            labels = components(near.where("link").select("a", "b"))
-            # Cells and their windows; documents outside all cells.
-            of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
-            found = tried.join(near, ["a", "b"]).join(of("node"), "node", "left").join(of("p"), "p", "left")
-            apart = F.coalesce("label_node", "node") != F.coalesce("label_p", "p")
-            found = materialize(found.where(F.col("link") | apart).select("rid", "p", "node", "link"), "found")
-            outside = ranked.where(~is_pivot).join(found.where("link").select("rid", "node").distinct(), ["rid", "node"], "left_anti").select("rid", "node", "n", "early")
-            windowed = found.groupBy("rid", "p").agg(F.max((~F.col("link")).cast("int")).alias("shell"), F.max(F.col("link").cast("int")).alias("cell")).where("shell = 1 and cell = 1")
-            inside = found.join(windowed.select("rid", "p"), ["rid", "p"]).join(ranked.select("rid", "node", "n", "early"), ["rid", "node"])
-            inside = inside.select(F.xxhash64("rid", "p").alias("rid"), "node", "n", "early")
-            labelled = outside.unionByName(inside).join(labels, "node", "left").select("rid", "node", "n", "early", F.coalesce("label", "node").alias("label"))
-            labelled = materialize(labelled, "recursion", clean=True)
-            several = labelled.groupBy("rid").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("rid")
-            rows = self.unlike(labelled.join(several, "rid", "left_semi").distinct())
-            discard(ranked, tried, found)
-            older = [labelled]
-            pivots = min(512, pivots * 16)
-        members = every.select("id", "node", "n", "digest").join(classes.select("digest", F.col("node").alias("class")), "digest", "left")
-        return members.select("id", "node", "n", F.coalesce("class", "node").alias("class")), labels
+            meet = (F.col("label") != F.col("label_p")) & (F.col("side") + F.col("side_p") < 4) & (F.col("n") <= F.col("reach_p")) & (F.col("n_p") <= F.col("reach"))
+            tried = materialize(live.join(pivots, "rid").where(meet).select("rid", "node", "node_p", F.least("node", "node_p").alias("a"), F.greatest("node", "node_p").alias("b")), "tried")
+            tested = materialize(self.test(tried.select("a", "b").distinct(), sets), "tested")
+            links = tested.where("link").select("a", "b")
+            if not links.isEmpty():
+                labels = components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+            rows = materialize(self.split(live, pivots, tried.join(tested, ["a", "b"]), labels), "recursion")
+            discard(tried, tested, pivots, live)
+            older, buckets = [rows], min(512, buckets * 16)
+        discard(sets)
+        return members, classes, labels
+
+    def split(self, live: DataFrame, pivots: DataFrame, found: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """The regions of the next round: cells of pivots with their windows, and what lies outside all cells."""
+        closest = F.max_by("node_p", F.struct(F.col("shared") / F.col("union"), -F.col("node_p")))
+        cell = found.where("link").groupBy("rid", "node").agg(closest.alias("cell"))
+        rest = live.select("rid", "node", "n", "reach", "side").join(pivots.select("rid", F.col("node_p").alias("node")), ["rid", "node"], "left_anti").join(cell, ["rid", "node"], "left")
+        rest = self.labelled(rest, labels)
+        outside = rest.where("cell is null").select("rid", "node", "n", "reach", "side")
+        inside = rest.where("cell is not null")
+        core = inside.select(F.xxhash64("rid", "cell").alias("rid"), "node", "n", "reach", F.lit(1).alias("side"))
+        cells = inside.groupBy("rid", "cell").agg(F.min("label").alias("label_c"), F.min("n").alias("least"), F.max("reach").alias("most")).withColumnRenamed("cell", "pivot")
+        window = rest.join(cells, "rid").where("label != label_c and n <= most and reach >= least")
+        window = window.join(found.where("not near").select("rid", "node", F.col("node_p").alias("pivot")), ["rid", "node", "pivot"], "left_anti")
+        return outside.unionByName(core).unionByName(window.select(F.xxhash64("rid", "pivot").alias("rid"), "node", "n", "reach", F.lit(2).alias("side")))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, common: int) -> DataFrame:
+    """(id, n, digest, label, component) of each row; label and component are null without words."""
+    members, classes, labels = Join(docs, id_col, text_col, size, percent, common).run()
+    named = classes.withColumn("label", F.col("node")) if labels is None else Join.labelled(classes, labels)
+    named = materialize(named.select("digest", "label", "least"), "named")
+    found = named.join(named.groupBy("label").agg(F.min("least").alias("component")), "label")
+    return members.join(found.select("digest", "label", "component"), "digest", "left")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, common: int = 32) -> DataFrame:
     """(id_col, n_shingles, component_id) of each row: the least id that links reach, its own included."""
-    members, labels = Join(docs, id_col, text_col, size, percent, common).run()
-    out = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "class")).otherwise(F.col("node")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label") < NO_ID, F.col("label")).alias("component_id"))
+    out = _linked(docs, id_col, text_col, size, percent, common)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, common: int = 32) -> DataFrame:
-    """``docs`` with one document of each component: that with the least id.  Documents without words or an id stay."""
-    lost = link_components(docs, id_col, text_col, size, percent, common).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(lost, id_col, "left_anti")
+    """``docs`` with one row of each component: that of the least id.  Rows without words stay.
+
+    Where the least id is null or stands in several rows, one row stays: that of the least
+    digest of its shingles, then of the least digest of its whole row.
+    """
+    linked = materialize(_linked(docs, id_col, text_col, size, percent, common), "linked")
+    unclear = linked.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or id is null")
+    if not unclear.isEmpty():
+        return _keep_rows(docs, linked, id_col, text_col, size)
+    lost = linked.where("n > 0 and id != component").select(F.col("id").alias(id_col))
+    return docs.join(lost, id_col, "left_anti").select(docs.columns)
+
+
+def _keep_rows(docs: DataFrame, linked: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """:func:`keep_one` where an id doesn't tell rows apart: rows get numbers of their own."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [digest_of(s) if len(s) else None for _, s in _sets(batch, 2, size)]
+            if digests:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], names=["_row", "id", "digest"])
+
+    ids = numbered.select("_row", F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(*docs.columns).alias("whole"))
+    rows = ids.select("_row", "id", "text").mapInArrow(lean(run), "_row bigint, id bigint, digest binary").where("digest is not null")
+    rows = rows.join(ids.select("_row", "whole"), "_row").join(linked.select("digest", "label").distinct(), "digest")
+    kept = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "whole", "_row")).alias("first")).select("first._row")
+    lost = rows.select("_row").join(kept, "_row", "left_anti")
+    return numbered.join(lost, "_row", "left_anti").select(docs.columns)
