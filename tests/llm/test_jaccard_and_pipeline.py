@@ -99,6 +99,17 @@ def test_shingles_by_hand():
     assert jaccard.ordered(got[6], common, 6)[-1] == got[6][2] and len(jaccard.ordered(got[6], common, 5)) == 5
 
 
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m, both in [(1, 1, 0), (3, 70, 2), (64, 64, 64), (900, 1100, 800), (5000, 300, 300)]:
+        x = np.unique(rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64))
+        a, b = x[:n], x[n - both :]
+        assert jaccard.differing(jaccard.signature(a), jaccard.signature(b)) <= len(np.setxor1d(a, b))
+        assert jaccard.differing(jaccard.signature(a), jaccard.signature(a)) == 0
+    x = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
+    assert jaccard.differing(jaccard.signature(x[:1000]), jaccard.signature(x[1000:])) > 300
+
+
 SF = "/root/testdata/sf0.001"
 
 

@@ -19,7 +19,8 @@ has settled them.  As ``d`` is at least ``1 - |A| / |B|``, regions are cut into
 and a ring's smaller neighbours visit it only as far as they reach.
 
 **Cells of document pivots.**  In each region some documents are pivots, and what is within
-reach of them is compared by whole sets.  Those within E of a pivot are linked to it; each
+reach of them is compared: first by signatures, parity bitmaps whose differing bits are a
+lower bound of the sets' difference, and where these leave a link open, by whole sets.  Those within E of a pivot are linked to it; each
 goes to the Voronoi cell of its nearest pivot.  By the triangle inequality, a document
 beyond ``2 * E`` of the pivot has no link into the cell; all others of the region whose
 component is another are the cell's window.  Cell and window are a region of its own
@@ -81,6 +82,20 @@ def digest_of(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def signature(found: np.ndarray) -> bytes:
+    """For each residue of the hashes modulo a power of two, at least their number, a bit: whether an odd number has it."""
+    bits = max(64, 1 << (len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits that differ, of the longer signature after it is folded to the shorter: no more than hashes in one set only."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if len(x) < len(y):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets(batch: pa.RecordBatch, at: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
     texts = batch.column(at)
     sizes = byte_sizes(texts)
@@ -151,20 +166,21 @@ class Join:
         self.common = self.spark.sparkContext.broadcast(common_shingles(docs, text_col, size, common))
 
     def rows(self) -> DataFrame:
-        """(id, mark, n, digest, prefix) of each document."""
+        """(id, mark, n, digest, signature, prefix) of each document."""
         size, common, percent = self.size, self.common, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n, digests, prefixes = [], [], []
+                n, digests, signatures, prefixes = [], [], [], []
                 for _, found in _sets(batch, 2, size):
                     n.append(len(found))
                     digests.append(digest_of(found) if len(found) else None)
+                    signatures.append(signature(found) if len(found) else None)
                     prefixes.append(ordered(found, common.value, prefix_length(len(found), percent)).tobytes() if len(found) else None)
                 if n:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], names=["id", "mark", "n", "digest", "prefix"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(prefixes, pa.binary())], names=["id", "mark", "n", "digest", "signature", "prefix"])
 
-        return self.docs.mapInArrow(lean(run), "id bigint, mark bigint, n bigint, digest binary, prefix binary")
+        return self.docs.mapInArrow(lean(run), "id bigint, mark bigint, n bigint, digest binary, signature binary, prefix binary")
 
     def regions(self, classes: DataFrame) -> DataFrame:
         """(rid, node, n, reach) of each shingle pivot's cell and window, where two classes or more may meet."""
@@ -262,13 +278,37 @@ class Join:
         found = self.docs.select("mark", "text").mapInArrow(lean(run), "digest binary, shingles array<bigint>")
         return found.join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
-    def test(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(a, b, shared, union, link, near) of pairs of classes, from their whole sets."""
-        of = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
-        joined = pairs.join(of("a"), "a").join(of("b"), "b")
-        shared = joined.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("bigint").alias("shared"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("both"))
-        shared = shared.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("union"))
-        return shared.select("*", (100 * F.col("shared") >= self.percent * F.col("union")).alias("link"), (100 * F.col("shared") >= max(0, 2 * self.percent - 100) * F.col("union")).alias("near"))
+    def test(self, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(a, b, link, near, similarity) of pairs of classes.
+
+        ``near`` is whether they may be within ``2E``: by their signatures, or by whole sets
+        where the signatures leave a link open.
+        """
+        percent, wide = self.percent, max(0, 2 * self.percent - 100)
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n_a, n_b, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+                most = [(p + q - max(differing(s, t), abs(p - q))) // 2 for p, q, s, t in zip(n_a, n_b, x, y, strict=True)]
+                share = [(100 * m, p + q - m) for m, p, q in zip(most, n_a, n_b, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m >= percent * u for m, u in share], pa.bool_()), pa.array([m >= wide * u for m, u in share], pa.bool_())], names=["a", "b", "open", "near"])
+
+        of = lambda k: wanted.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"signature_{k}"))
+        signed = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "signature_a", "signature_b")
+        bounded = materialize(signed.mapInArrow(lean(bound), "a bigint, b bigint, open boolean, near boolean"), "bounded")
+        open_ = bounded.where("open").select("a", "b")
+        far = bounded.where("not open").select("a", "b", F.lit(False).alias("link"), "near", F.lit(0.0).alias("similarity"))
+        if open_.isEmpty():
+            return far
+        nodes = materialize(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(wanted.select("node", "mark", "digest"), "node"), "open")
+        sets = materialize(self.sets(nodes), "sets")
+        side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
+        shared = open_.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("bigint").alias("shared"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("both"))
+        shared = shared.withColumn("union", F.col("both") - F.col("shared"))
+        exact = shared.select("a", "b", (100 * F.col("shared") >= percent * F.col("union")).alias("link"), (100 * F.col("shared") >= wide * F.col("union")).alias("near"), (F.col("shared") / F.col("union")).alias("similarity"))
+        exact = materialize(exact, "exact")
+        discard(sets, nodes)
+        return exact.unionByName(far)
 
     @staticmethod
     def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -288,12 +328,11 @@ class Join:
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """(id, n, digest) of each document; (digest, node, least) of each class; (node, label) of linked classes."""
         every = materialize(self.rows(), "prefixes")
-        grouped = every.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("mark").alias("mark"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        grouped = every.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("mark").alias("mark"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix"))
         classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
         shared = materialize(self.regions(classes), "shared")
         rows = materialize(self.rings(shared), "rings")
-        wanted = rows.select("node").distinct().join(classes.select("node", "mark", "digest"), "node")
-        sets = materialize(self.sets(materialize(wanted, "wanted")), "sets")
+        wanted = materialize(rows.select("node").distinct().join(classes.select("node", "n", "mark", "digest", "signature"), "node"), "wanted")
         discard(shared)
         members, classes = every.select("id", "n", "digest"), classes.select("digest", "node", "least")
         labels, older, buckets = None, [rows], 1
@@ -308,19 +347,19 @@ class Join:
                 break
             meet = (F.col("label") != F.col("label_p")) & (F.col("side") + F.col("side_p") < 4) & (F.col("n") <= F.col("reach_p")) & (F.col("n_p") <= F.col("reach"))
             tried = materialize(live.join(pivots, "rid").where(meet).select("rid", "node", "node_p", F.least("node", "node_p").alias("a"), F.greatest("node", "node_p").alias("b")), "tried")
-            tested = materialize(self.test(tried.select("a", "b").distinct(), sets), "tested")
+            tested = materialize(self.test(tried.select("a", "b").distinct(), wanted), "tested")
             links = tested.where("link").select("a", "b")
             if not links.isEmpty():
                 labels = components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
             rows = materialize(self.split(live, pivots, tried.join(tested, ["a", "b"]), labels), "recursion")
             discard(tried, tested, pivots, live)
             older, buckets = [rows], min(512, buckets * 16)
-        discard(sets)
+        discard(wanted)
         return members, classes, labels
 
     def split(self, live: DataFrame, pivots: DataFrame, found: DataFrame, labels: DataFrame | None) -> DataFrame:
         """The regions of the next round: cells of pivots with their windows, and what lies outside all cells."""
-        closest = F.max_by("node_p", F.struct(F.col("shared") / F.col("union"), -F.col("node_p")))
+        closest = F.max_by("node_p", F.struct("similarity", -F.col("node_p")))
         cell = found.where("link").groupBy("rid", "node").agg(closest.alias("cell"))
         rest = live.select("rid", "node", "n", "reach", "side").join(pivots.select("rid", F.col("node_p").alias("node")), ["rid", "node"], "left_anti").join(cell, ["rid", "node"], "left")
         rest = self.labelled(rest, labels)
