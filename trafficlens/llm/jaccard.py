@@ -58,7 +58,7 @@ from .common import byte_sizes, discard, lean, materialize, slices
 from .components import components
 
 STRETCH = 1 << 21  # shingles that a task counts at once
-MOST_COMMON = 1 << 18  # entries of the broadcast list of common shingles (3 MB)
+MOST_COMMON = 1 << 20  # entries of the broadcast list of common shingles (9 MB)
 SCREEN_BITS = 1 << 26  # of the table of wanted texts (8 MB)
 
 
@@ -335,12 +335,14 @@ class Join:
         wanted = materialize(rows.select("node").distinct().join(classes.select("node", "n", "mark", "digest", "signature"), "node"), "wanted")
         discard(shared)
         members, classes = every.select("id", "n", "digest"), classes.select("digest", "node", "least")
+        # Pivots are those of the earliest place: they lack least of what the region shares, so they are central in it.
+        place = F.col("n") - self.percent * (F.col("n") + F.col("reach")) / (100 + self.percent)
         labels, older, buckets = None, [rows], 1
         while True:
             live = materialize(self.live(self.labelled(rows, labels)), "live")
             discard(*older)
             chosen = live.where("label != big" if labels is not None else "true").groupBy("rid", F.pmod(F.xxhash64("node", F.lit(buckets)), F.lit(buckets)).alias("bucket"))
-            pivots = chosen.agg(F.min(F.struct((F.col("reach") < F.col("n")).alias("late"), "node", "n", "reach", "side", "label")).alias("v"))
+            pivots = chosen.agg(F.min(F.struct(place.alias("place"), "node", "n", "reach", "side", "label")).alias("v"))
             pivots = materialize(pivots.select("rid", *(F.col(f"v.{c}").alias(c if c == "rid" else f"{c}_p") for c in ("node", "n", "reach", "side", "label"))), "pivots")
             if pivots.isEmpty():
                 discard(live, pivots)
@@ -381,13 +383,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     return members.join(found.select("digest", "label", "component"), "digest", "left")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, common: int = 32) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, common: int = 4) -> DataFrame:
     """(id_col, n_shingles, component_id) of each row: the least id that links reach, its own included."""
     out = _linked(docs, id_col, text_col, size, percent, common)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, common: int = 32) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, common: int = 4) -> DataFrame:
     """``docs`` with one row of each component: that of the least id.  Rows without words stay.
 
     Where the least id is null or stands in several rows, one row stays: that of the least
