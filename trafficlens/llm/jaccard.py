@@ -197,7 +197,8 @@ class Join:
                         n = np.repeat(np.asarray(part.column(1)), many)
                         place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                         rid = np.frombuffer(b"".join(blobs), dtype=np.int64)
-                        listed = np.isin(rid.view(np.uint64), known) if len(known) else np.zeros(len(rid), dtype=bool)
+                        value = rid.view(np.uint64)
+                        listed = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value if len(known) else np.zeros(len(rid), dtype=bool)
                         keep = listed if hot else ~listed
                         node = np.repeat(np.asarray(part.column(0)), many)
                         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rid, node, n, reach(n, place, percent))], names=["rid", "node", "n", "reach"])
