@@ -255,7 +255,7 @@ class Join:
         chance meets no digest and goes.
         """
         size = self.size
-        bits = min(SCREEN_BITS, 1 << max(10, (16 * wanted.count()).bit_length()))
+        bits = min(SCREEN_BITS, 1 << max(10, (256 * wanted.count()).bit_length()))
         words = wanted.select(F.col("mark").bitwiseAND(bits - 1).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toPandas()
         table = np.zeros(bits // 64, dtype=np.uint64)
         table[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).view(np.uint64)
@@ -331,11 +331,14 @@ class Join:
         every = materialize(self.rows(), "prefixes")
         grouped = every.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("mark").alias("mark"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix"))
         classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+        members, prefixes = materialize(every.select("id", "n", "digest"), "members"), every
+        discard(prefixes)
         shared = materialize(self.regions(classes), "shared")
+        prefixed, classes = classes, materialize(classes.drop("prefix"), "classes")
+        discard(prefixed)
         rows = materialize(self.rings(shared), "rings")
         wanted = materialize(rows.select("node").distinct().join(classes.select("node", "n", "mark", "digest", "signature"), "node"), "wanted")
         discard(shared)
-        members, classes = every.select("id", "n", "digest"), classes.select("digest", "node", "least")
         # Pivots are those of the earliest place: they lack least of what the region shares, so they are central in it.
         place = F.col("n") - self.percent * (F.col("n") + F.col("reach")) / (100 + self.percent)
         labels, older, buckets = None, [rows], 1
@@ -358,7 +361,7 @@ class Join:
             discard(tried, tested, pivots, live)
             older, buckets = [rows], min(512, buckets * 16)
         discard(wanted)
-        return members, classes, labels
+        return members, classes.select("digest", "node", "least"), labels
 
     def split(self, live: DataFrame, pivots: DataFrame, found: DataFrame, labels: DataFrame | None) -> DataFrame:
         """The regions of the next round: cells of pivots with their windows, and what lies outside all cells."""
