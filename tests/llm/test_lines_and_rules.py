@@ -95,6 +95,24 @@ def test_rules_keep_the_clean(docs_of, odd):
     assert R.rate(docs_of([])).count() == 0
 
 
+def test_thresholds_follow_language_and_source(docs_of):
+    """The same text is kept or not as its language and source write; no constant changes."""
+    rng = random.Random(8)
+    plain = [clean(rng) for _ in range(160)]
+    marked = [" ".join(w + "#" * (i % 3 == 0) for i, w in enumerate(clean(rng).split())) for _ in range(31)]
+    texts = plain + marked + [marked[0], marked[0], marked[0], plain[0]]
+    lang = ["en"] * 120 + ["de"] * 40 + ["en"] * 31 + ["de", "fr", None, None]
+    source = ["web"] * 100 + ["code"] * 20 + ["code"] * 40 + ["code"] * 31 + ["code", "code", None, None]
+    kept = [r.kept for r in R.rate(docs_of(texts, lang=lang, source=source)).orderBy("doc_id").collect()]
+    assert all(kept[:191])  # in (en, code) over a quarter of the texts have symbols
+    assert kept[191:] == [False, False, False, True]  # (de, code) has none; of (fr, code) and null too few are known
+    fences = R.fences(R.sketch(R.measure(docs_of(texts, lang=lang, source=source)), ["lang", "source"]), ["lang", "source"]).collect()
+    assert len({r.fence_symbols for r in fences}) > 1 and len({r.fence_word_length_high for r in fences}) > 1
+    added = marked * 2 + plain
+    more = [r.kept for r in R.rate(docs_of(texts + added, lang=lang + ["de"] * 62 + ["en"] * 160, source=source + ["code"] * 62 + ["web"] * 160)).orderBy("doc_id").collect()]
+    assert more[191] and not more[192]
+
+
 def test_sketches_merge(spark, docs_of):
     rng = random.Random(7)
     texts = [clean(rng, rng.randrange(60, 200)) for _ in range(60)]

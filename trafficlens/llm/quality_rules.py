@@ -7,11 +7,16 @@ of a bin number, and two sketches merge by adding the counts of equal bins.  Ske
 plain rows (group, ratio, bin, count) and their merge is a sum, so Spark builds them with
 map-side aggregation, and every run gives the same thresholds.
 
-A threshold is a fence on the bulk of the group: ``q50 + reach * (q50 - q25) + slack`` in
-terms of the sketch (mirrored below for ratios with a lower fence), never less than
-``slack``.  Fences of median and lower quartile stay in place as long as less than half
-of a group is junk.  A fence over a group of fewer than ``min_group`` texts would say
-little, so such groups use the fences of all texts together.
+A threshold is a fence: an upper quantile of the group and ``reach`` times its distance from a
+lower one, both read off the sketch (mirrored for ratios with a lower fence).  Of few texts a quantile is uncertain:
+the upper one is taken ``SURE`` standard errors of its rank lower and the lower one as much
+higher, and where that leaves no rank, the group has no fence of its own.  No fixed cutoff
+takes part: where a language and source write with symbols, symbols are let pass.  The pair of
+quantiles says how large a share of junk a fence withstands: a quarter for symbols and word
+lengths; repeats and doubled lines have long tails in good texts and junk of that kind is
+rare past the base rule, so theirs stand at 99 %.  A group's fence
+is never tighter than that of the merged sketch of all texts, so a small or uniform group
+throws out nothing that is common elsewhere.
 
 Edge cases: null texts have no words and fail the base rule; null languages and sources
 are a group of their own; rows with the same id are judged each; an empty table gives an
@@ -32,14 +37,16 @@ from . import textscan
 from .common import byte_sizes, drop_own, extend_schema, materialize, slices
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Ratio: numerator, denominator, scale, reach, slack, side.  "high" rejects above the fence.
-RATIOS: dict[str, tuple[str, str, int, int, int, str]] = {
-    "symbols": ("n_symbols", "n_words", 1000, 6, 180, "high"),
-    "word_length_high": ("word_chars", "n_words", 100, 8, 500, "high"),
-    "word_length_low": ("word_chars", "n_words", 100, 8, 150, "low"),
-    "repeats": ("n_repeat_words", "n_words", 1000, 6, 450, "high"),
-    "dup_lines": ("n_dup_lines", "n_words", 1000, 6, 100, "high"),
+#: Ratio: numerator, denominator, scale, lower and upper quantile, reach, side.  "high" rejects above the fence.
+RATIOS: dict[str, tuple[str, str, int, int, int, int, str]] = {
+    "symbols": ("n_symbols", "n_words", 1000, 50, 75, 6, "high"),
+    "word_length_high": ("word_chars", "n_words", 100, 25, 75, 6, "high"),
+    "word_length_low": ("word_chars", "n_words", 100, 25, 75, 6, "low"),
+    "repeats": ("n_repeat_words", "n_words", 1000, 50, 99, 3, "high"),
+    "dup_lines": ("n_dup_lines", "n_words", 1000, 50, 99, 10, "high"),
 }
+SURE = 3
+QUANTILES = sorted({q for r in RATIOS.values() for q in r[3:5]})  # up to 50 lower ones
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -114,6 +121,11 @@ def bin_floor(b: Column) -> Column:
     return F.call_function("shiftleft", b - (shift * 32).cast("bigint"), shift)
 
 
+def bin_top(b: Column) -> Column:
+    """The greatest value of a bin."""
+    return bin_floor(b + 1) - 1
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -133,43 +145,53 @@ def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "ratio", "bin").agg(F.sum("n").alias("n"))
 
 
+def _quantile(q: int) -> Column:
+    """A quantile of (bin, upto, size) rows, by the careful rank."""
+    short = (F.col("size") * q - F.col("upto") * 100).cast("double")
+    errors = (F.col("size") * (SURE * SURE * q * (100 - q))).cast("double")
+    if q <= 50:
+        return F.min(F.when((short <= 0) & (short * short >= errors), bin_floor(F.col("bin"))))
+    known = F.col("size") * q > SURE * SURE * (100 - q)
+    return F.min(F.when(known & ((short <= 0) | (short * short <= errors)), bin_top(F.col("bin"))))
+
+
 def fences(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, size, and one fence a ratio) from merged sketches."""
+    """(groups, and one fence a ratio) from merged sketches."""
     group = ", ".join([*groups, "ratio"])
     ranked = sketches.withColumn("upto", F.expr(f"sum(n) over (partition by {group} order by bin)")).withColumn("size", F.expr(f"sum(n) over (partition by {group})"))
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("size") * q, bin_floor(F.col("bin"))))
-    quartiles = ranked.groupBy(*groups, "ratio").agg(F.max("size").alias("size"), at(25).alias("q25"), at(50).alias("q50"), at(75).alias("q75"))
+    found = ranked.groupBy(*groups, "ratio").agg(*(_quantile(q).alias(f"q{q}") for q in QUANTILES))
     fence = F.lit(None).cast("bigint")
-    for name, (_, _, _, reach, slack, side) in RATIOS.items():
-        bound = F.col("q50") + reach * (F.col("q50") - F.col("q25")) + slack if side == "high" else F.col("q50") - reach * (F.col("q75") - F.col("q50")) - slack
-        fence = F.when(F.col("ratio") == name, bound).otherwise(fence)
-    return quartiles.withColumn("fence", fence).groupBy(*groups).agg(F.max("size").alias("size"), *(F.max(F.when(F.col("ratio") == r, F.col("fence"))).alias(f"fence_{r}") for r in RATIOS))
+    for name, (*_, low, high, reach, side) in RATIOS.items():
+        q, p = F.col(f"q{low}"), F.col(f"q{high}")
+        spread = reach * F.when(p > q, p - q).otherwise(p - p)
+        fence = F.when(F.col("ratio") == name, p + spread if side == "high" else q - spread).otherwise(fence)
+    return found.withColumn("fence", fence).groupBy(*groups).agg(*(F.max(F.when(F.col("ratio") == r, F.col("fence"))).alias(f"fence_{r}") for r in RATIOS))
 
 
-def judge(measured: DataFrame, sketches: DataFrame, groups: list[str], min_group: int) -> DataFrame:
+def judge(measured: DataFrame, sketches: DataFrame, groups: list[str]) -> DataFrame:
     """``measured`` joined with its group's fences, giving ``base_failed`` and ``kept``."""
-    own = fences(sketches, groups).where(F.col("size") >= min_group)
+    own = fences(sketches, groups)
     own = own.select(*(F.col(g).alias(f"g_{g}") for g in groups), *(F.col(f"fence_{r}").alias(f"own_{r}") for r in RATIOS))
     whole = fences(merge(sketches, []), []).first()  # one row
     on = [F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in groups]
     joined = measured.join(own, on, "left")
     fine = F.lit(True)
     for name, (*_, side) in RATIOS.items():
-        fence = F.coalesce(F.col(f"own_{name}"), F.lit(whole[f"fence_{name}"]).cast("bigint"))
-        fine = fine & (ratio(name) <= fence if side == "high" else ratio(name) >= fence)
+        own_fence, all_fence = F.col(f"own_{name}"), F.lit(whole[f"fence_{name}"]).cast("bigint")
+        fine = fine & (ratio(name) <= F.greatest(own_fence, all_fence) if side == "high" else ratio(name) >= F.least(own_fence, all_fence))
     return joined.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & F.coalesce(fine, F.lit(True))).alias("kept"))
 
 
-def rate(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), min_group: int = 50, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def rate(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``id_cols``, the counts, ``base_failed`` and ``kept`` of each row of ``docs``."""
     keep = list(dict.fromkeys([*id_cols, *groups]))
     measured = materialize(measure(docs, text_col, keep), "rules-measured")
     sketches = materialize(sketch(measured, list(groups)), "rules-sketches")
-    return judge(measured, sketches, list(groups), min_group).select(*id_cols, *COUNTS, "base_failed", "kept")
+    return judge(measured, sketches, list(groups)).select(*id_cols, *COUNTS, "base_failed", "kept")
 
 
-def filter_rules(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), min_group: int = 50) -> DataFrame:
+def filter_rules(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The rows of ``docs`` that pass.  Texts are measured again rather than shuffled to meet their verdict."""
     sketches = materialize(sketch(measure(docs, text_col, list(groups)), list(groups)), "rules-sketches")
-    verdicts = judge(measure(docs, text_col), sketches, list(groups), min_group)
+    verdicts = judge(measure(docs, text_col), sketches, list(groups))
     return verdicts.where("kept").select(*docs.columns)

@@ -44,22 +44,28 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op7_sql() -> str:
     """The same rules: sketch bins, fences and joined filter, for DuckDB."""
-    from .quality_rules import RATIOS
+    from .quality_rules import QUANTILES, RATIOS, SURE
 
     value = lambda r: f"(({RATIOS[r][2]} * {RATIOS[r][0]}) // greatest({RATIOS[r][1]}, 1))"
     # A bin's least value: the value with all but its six leading bits cleared.
     pairs = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {value(r)} AS v FROM b WHERE NOT base_failed" for r in RATIOS)
-    fence = "CASE ratio " + " ".join(f"WHEN '{r}' THEN " + (f"q50 + {x[3]} * (q50 - q25) + {x[4]}" if x[5] == "high" else f"q50 - {x[3]} * (q75 - q50) - {x[4]}") for r, x in RATIOS.items()) + " END"
+    spread = lambda x: f"{x[5]} * CASE WHEN q{x[4]} > q{x[3]} THEN q{x[4]} - q{x[3]} WHEN q{x[4]} <= q{x[3]} THEN 0 END"
+    fence = "CASE ratio " + " ".join(f"WHEN '{r}' THEN " + (f"q{x[4]} + {spread(x)}" if x[6] == "high" else f"q{x[3]} - {spread(x)}") for r, x in RATIOS.items()) + " END"
     wide = ", ".join(f"max(fence) FILTER (ratio = '{r}') AS f_{r}" for r in RATIOS)
-    at = lambda q: f"min(v) FILTER (upto * 100 >= size * {q}) AS q{q}"
-    verdict = " AND ".join(f"{value(r)} {'<=' if x[5] == 'high' else '>='} coalesce(o.f_{r}, w.f_{r})" for r, x in RATIOS.items())
+    # Ranks are moved by standard errors: lower quantiles up, upper ones down; these give their bin's greatest value.
+    short, errors = "(size * {q} - upto * 100)::DOUBLE", f"(size * ({SURE * SURE} * {{q}} * (100 - {{q}})))::DOUBLE"
+    top = "CASE WHEN v < 64 THEN v ELSE v + (1 << (length(bin(v)) - 6)::INT) - 1 END"
+    low = f"min(v) FILTER ({short} <= 0 AND {short} * {short} >= {errors})"
+    high = f"min({top}) FILTER (size * {{q}} > {SURE * SURE} * (100 - {{q}}) AND ({short} <= 0 OR {short} * {short} <= {errors}))"
+    at = ", ".join((low if q <= 50 else high).format(q=q) + f" AS q{q}" for q in QUANTILES)
+    verdict = " AND ".join(f"{value(r)} <= greatest(o.f_{r}, w.f_{r})" if x[6] == "high" else f"{value(r)} >= least(o.f_{r}, w.f_{r})" for r, x in RATIOS.items())
 
     def fences(name: str, groups: str) -> str:
         by = f"{groups}ratio"
         return f"""{name}_c AS (SELECT {groups}ratio, v, count(*) AS n FROM p GROUP BY {groups}ratio, v),
 {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY v) AS upto, sum(n) OVER (PARTITION BY {by}) AS size FROM {name}_c),
-{name}_q AS (SELECT {groups}ratio, max(size) AS size, {at(25)}, {at(50)}, {at(75)} FROM {name}_r GROUP BY {by}),
-{name} AS (SELECT {groups}max(size) AS size, {wide} FROM (SELECT *, {fence} AS fence FROM {name}_q) {"GROUP BY lang, source" if groups else ""})"""
+{name}_q AS (SELECT {groups}ratio, {at} FROM {name}_r GROUP BY {by}),
+{name} AS (SELECT {groups}{wide} FROM (SELECT *, {fence} AS fence FROM {name}_q) {"GROUP BY lang, source" if groups else ""})"""
 
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -82,7 +88,7 @@ p AS (SELECT lang, source, ratio, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin
 {fences("whole", "")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce({verdict}, true) AS kept
-FROM b LEFT JOIN (SELECT * FROM own WHERE size >= 50) o
+FROM b LEFT JOIN own o
   ON b.lang IS NOT DISTINCT FROM o.lang AND b.source IS NOT DISTINCT FROM o.source CROSS JOIN whole w
 """
 
