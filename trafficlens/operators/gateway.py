@@ -8,6 +8,8 @@ query gives no estimate.
 
 from __future__ import annotations
 
+import threading
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -77,10 +79,15 @@ class Gateway:
                 raise ValueError(f"one state of {p.query.name} is over {format_bytes(budget)}")
         self.max_nodes, self.budget, self.seed = max_nodes, budget, seed
         self.states: dict[tuple[str, str], dict] = {}
+        self.lock = threading.Lock()
         self.counters = dict.fromkeys(("batches", "accepted", "rejected", "stale"), 0)
 
     def push(self, body: bytes, now_nanos: int) -> tuple[int, dict]:
         """HTTP status and what became of the batch: 400 if nothing was accepted, 200 on a part."""
+        with self.lock:
+            return self._push(body, now_nanos)
+
+    def _push(self, body: bytes, now_nanos: int) -> tuple[int, dict]:
         self.counters["batches"] += 1
         try:
             node, entries = decode_batch(body)
@@ -88,13 +95,16 @@ class Gateway:
             self.counters["rejected"] += 1
             return 400, {"accepted": 0, "errors": [str(e)]}
         parts: dict[str, dict[str, bytes]] = {}
-        errors, accepted = [], 0
+        errors, accepted, doubled = [], 0, set()
         for e in entries:
             parts.setdefault(e.query, {})
             if e.component in parts[e.query]:
                 errors.append(f"{e.query}: {e.component} is there twice")
+                doubled.add(e.query)
             parts[e.query][e.component] = e.data
         for name, given in parts.items():
+            if name in doubled:  # which of the two is meant can't be told
+                continue
             try:
                 self._admit(node, name, given, now_nanos)
                 accepted += 1
@@ -122,10 +132,13 @@ class Gateway:
 
     def rows(self) -> list[tuple]:
         """What :func:`merge` takes, a row a component."""
-        return [(node, name, c, s["start"], s["end"], 0, b, s["received"]) for (name, node), s in sorted(self.states.items()) for c, b in sorted(s["parts"].items())]
+        with self.lock:
+            states = [(key, self.states[key]) for key in sorted(self.states)]
+        return [(node, name, c, s["start"], s["end"], 0, b, s["received"]) for (name, node), s in states for c, b in sorted(s["parts"].items())]
 
     def nodes(self) -> list[str]:
-        return sorted({n for _, n in self.states})
+        with self.lock:
+            return sorted({n for _, n in self.states})
 
 
 ROWS = "node string, query string, component string, window_start_nanos bigint, window_end_nanos bigint, update_count bigint, bytes binary, received_nanos bigint"

@@ -153,7 +153,7 @@ def merge_equals_single(spark: SparkSession, d: str) -> DataFrame:
 
 def gateway_fail_closed(spark: SparkSession, d: str) -> DataFrame:
     """The window vote over nodes made of users; some lag, some have gone silent."""
-    e = events(spark, d).where("cast(split(src_ip, '[.]')[3] as int) < 12")
+    e = events(spark, d)
     node = F.concat(F.lit("node"), F.element_at(F.split("src_ip", "[.]"), 4))
     end = F.expr("ts_nanos - pmod(ts_nanos, 86400000000000) + 86400000000000")
     rows = e.select(F.concat(F.lit("q"), F.col("dst_port") % 5).alias("query"), node.alias("node"), (end - 86400000000000).alias("window_start_nanos"), end.alias("window_end_nanos"), F.lit("hll").alias("component"), F.col("ts_nanos").alias("received_nanos"))
@@ -162,7 +162,7 @@ def gateway_fail_closed(spark: SparkSession, d: str) -> DataFrame:
 
 
 GATEWAY_SQL = f"""
-WITH e AS (SELECT * FROM ({EVENTS_SQL}) WHERE CAST(split_part(src_ip, '.', 4) AS INT) < 12),
+WITH e AS (SELECT * FROM ({EVENTS_SQL})),
 r AS (SELECT 'q' || (dst_port % 5) AS query, 'node' || split_part(src_ip, '.', 4) AS node,
              ts_nanos - ts_nanos % 86400000000000 AS s, ts_nanos - ts_nanos % 86400000000000 + 86400000000000 AS t, ts_nanos AS received FROM e),
 h AS (SELECT query, node, max(received) AS heard FROM r GROUP BY ALL HAVING max(received) > (SELECT max(received) FROM r) - 259200000000000),
@@ -233,9 +233,9 @@ def pcap_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("arrival_seq")[["ts_nanos", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes", "tcp_flags"]]
-        return pd.DataFrame({"content": [write_capture(iter(rows.to_dict("records")), 0)]})
+        return pd.DataFrame({"path": [f"{pdf.part.iloc[0]:02}.pcap"], "content": [write_capture(iter(rows.to_dict("records")), 0)]})
 
-    files = e.groupBy("part").applyInPandas(write, "content binary")
+    files = e.groupBy("part").applyInPandas(write, "path string, content binary")
     return events_of_files(files).groupBy("protocol", "src_ip").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum("dst_port").alias("ports"), F.min("ts_nanos").alias("first"))
 
 

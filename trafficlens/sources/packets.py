@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import FLOW_EVENT, complete
@@ -122,14 +124,34 @@ def read_capture(data: bytes) -> Iterator[dict]:
             yield {"ts_nanos": seconds * 1_000_000_000 + part * unit, **event}
 
 
+FILE_SHIFT = 40  # an event's arrival_seq is its file's rank above its place in the file
+
+
+def first_time(head: bytes) -> int:
+    """The time of a capture's first packet, read off its first 40 bytes; of an empty capture 0."""
+    if head[:4] not in MAGICS or len(head) < 40:
+        return 0
+    order, unit = MAGICS[head[:4]]
+    seconds, part = struct.unpack(f"{order}II", head[24:32])
+    return seconds * 1_000_000_000 + part * unit
+
+
 def events_of_files(files: DataFrame) -> DataFrame:
-    """Flow events of a ``binaryFile`` table; ``arrival_seq`` is the place in the file."""
+    """Flow events of a ``binaryFile`` table.
+
+    Files arrive in the order of their first packets, then of their paths; ``arrival_seq``
+    is the place in that order and in the file.
+    """
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf.path, "first": [first_time(bytes(h)) for h in pdf["head"]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for data in pdf.content:
+            for base, data in zip(pdf["base"], pdf.content, strict=True):
                 held = []
-                for i, e in enumerate(read_capture(bytes(data))):
+                for i, e in enumerate(read_capture(bytes(data)), int(base)):
                     held.append((*(e[c] for c in COLUMNS), i))
                     if len(held) >= 50_000:
                         yield pd.DataFrame(held, columns=[*COLUMNS, "arrival_seq"])
@@ -138,7 +160,10 @@ def events_of_files(files: DataFrame) -> DataFrame:
                     yield pd.DataFrame(held, columns=[*COLUMNS, "arrival_seq"])
 
     schema = "ts_nanos bigint, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, bytes bigint, tcp_flags int, arrival_seq bigint"
-    return complete(files.select("content").mapInPandas(run, schema))
+    times = files.select("path", F.substring("content", 1, 40).alias("head")).mapInPandas(heads, "path string, first bigint")
+    # One row a file is ordered here, not the events.
+    ranks = times.select("path", F.shiftleft((F.row_number().over(W.orderBy("first", "path")) - 1).cast("bigint"), FILE_SHIFT).alias("base"))
+    return complete(files.join(ranks, "path").select("base", "content").mapInPandas(run, schema))
 
 
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
@@ -164,11 +189,16 @@ class _PcapReader(DataSourceReader):
         self.paths = paths
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        def first(path: str) -> tuple[int, str]:
+            with open(path.removeprefix("file://"), "rb") as f:
+                return first_time(f.read(40)), path
+
+        return [InputPartition((i << FILE_SHIFT, p)) for i, (_, p) in enumerate(sorted(map(first, self.paths)))]
 
     def read(self, partition):
-        with open(partition.value.removeprefix("file://"), "rb") as f:
-            for i, e in enumerate(read_capture(f.read())):
+        base, path = partition.value
+        with open(path.removeprefix("file://"), "rb") as f:
+            for i, e in enumerate(read_capture(f.read()), base):
                 yield (e["ts_nanos"], e["src_ip"], e["dst_ip"], e["src_port"], e["dst_port"], e["protocol"], e["bytes"], 1, "unknown", e["tcp_flags"], 0, 0, None, None, None, i)
 
 
