@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -57,6 +58,29 @@ def discard(*tables: DataFrame) -> None:
             hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def screen_words(marks: DataFrame, column: str, count: int, most_bits: int) -> tuple[int, DataFrame]:
+    """The bits of a table and its (word, bits) rows, ``most_bits / 64`` at most: bit ``mark % bits`` is set for each mark."""
+    bits = min(most_bits, 1 << max(10, (256 * count).bit_length()))
+    at = marks.select(F.col(column).bitwiseAND(bits - 1).alias("bit"))
+    return bits, at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
+
+
+def without(docs: DataFrame, lost: DataFrame, id_col: str, most_bits: int = 1 << 26) -> DataFrame:
+    """``docs`` but for rows whose id is in ``lost`` (id).
+
+    Whole rows aren't shuffled to meet the ids: a bit table of bounded size (2**20 rows) is sent to
+    all, and only rows that it can't tell from lost ones go through the join.
+    """
+    marks = lost.select(F.xxhash64(F.col("id").cast("bigint")).alias("mark"))
+    bits, words = screen_words(marks, "mark", lost.count(), most_bits)
+    mark = F.xxhash64(F.col(id_col).cast("bigint")).bitwiseAND(bits - 1)
+    marked = docs.withColumn("_bit", mark).withColumn("_word", F.shiftright("_bit", 6))
+    marked = marked.join(F.broadcast(words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), "_word", "left")
+    hit = F.coalesce(F.expr("(shiftright(_bits, int(_bit & 63)) & 1) = 1"), F.lit(False))
+    unsure = marked.where(hit).join(lost.select(F.col("id").alias("_lost")), F.col(id_col).cast("bigint") == F.col("_lost"), "left_anti")
+    return marked.where(~hit).select(docs.columns).unionByName(unsure.select(docs.columns))
+
+
 def drop_own(df: DataFrame, names: list[str]) -> DataFrame:
     """Without columns named like those an operator adds: the operator's own replace them."""
     lowered = {n.lower() for n in names}

@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import byte_sizes, discard, lean, materialize, slices
+from .common import byte_sizes, discard, lean, materialize, screen_words, slices, without
 from .components import components
 
 STRETCH = 1 << 21  # shingles that a task counts at once
@@ -255,8 +255,8 @@ class Join:
         chance meets no digest and goes.
         """
         size = self.size
-        bits = min(SCREEN_BITS, 1 << max(10, (256 * wanted.count()).bit_length()))
-        words = wanted.select(F.col("mark").bitwiseAND(bits - 1).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toPandas()
+        bits, found_words = screen_words(wanted, "mark", wanted.count(), SCREEN_BITS)
+        words = found_words.toPandas()
         table = np.zeros(bits // 64, dtype=np.uint64)
         table[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).view(np.uint64)
         screen = self.spark.sparkContext.broadcast(table)
@@ -403,8 +403,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     unclear = linked.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or id is null")
     if not unclear.isEmpty():
         return _keep_rows(docs, linked, id_col, text_col, size)
-    lost = linked.where("n > 0 and id != component").select(F.col("id").alias(id_col))
-    return docs.join(lost, id_col, "left_anti").select(docs.columns)
+    return without(docs, linked.where("n > 0 and id != component").select("id"), id_col)
 
 
 def _keep_rows(docs: DataFrame, linked: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
