@@ -79,46 +79,66 @@ class Network:
         return np.tanh(h)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h, members = self.hidden(context), self.member_bias.shape[1]
-        out = _log_softmax(h @ self.by_class + self.class_bias)[np.arange(len(target)), target // members]
-        for c, rows in _groups(target // members):
-            out[rows] += _log_softmax(h[rows] @ self.by_member[c] + self.member_bias[c])[np.arange(len(rows)), target[rows] % members]
+        members = self.member_bias.shape[1]
+        order = np.argsort((target // members).astype(np.uint16), kind="stable")  # so that a class' rows are a slice
+        h, cls, member = self.hidden(context[order]), target[order] // members, target[order] % members
+        score = h @ self.by_class + self.class_bias
+        own = score[np.arange(len(cls)), cls]
+        held = own - _log_total(score)
+        for c, a, b in _slices(cls):
+            score = h[a:b] @ self.by_member[c] + self.member_bias[c]
+            own = score[np.arange(b - a), member[a:b]]
+            held[a:b] += own - _log_total(score)
+        out = np.empty_like(held)
+        out[order] = held
         return out
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log probability, in the order of the fields."""
-        n, h = len(target), self.hidden(context)
-        members = self.member_bias.shape[1]
-        cls, member = target // members, target % members
-        d = np.exp(_log_softmax(h @ self.by_class + self.class_bias))
+        n, members = len(target), self.member_bias.shape[1]
+        order = np.argsort((target // members).astype(np.uint16), kind="stable")
+        context, target = context[order], target[order]
+        h, cls, member = self.hidden(context), target // members, target % members
+        d = _softmax(h @ self.by_class + self.class_bias)
         d[np.arange(n), cls] -= 1
         d /= n
         by_member, member_bias = np.zeros_like(self.by_member), np.zeros_like(self.member_bias)
         back = d @ self.by_class.T
-        for c, rows in _groups(cls):
-            e = np.exp(_log_softmax(h[rows] @ self.by_member[c] + self.member_bias[c]))
-            e[np.arange(len(rows)), member[rows]] -= 1
+        for c, a, b in _slices(cls):
+            e = _softmax(h[a:b] @ self.by_member[c] + self.member_bias[c])
+            e[np.arange(b - a), member[a:b]] -= 1
             e /= n
-            by_member[c], member_bias[c] = h[rows].T @ e, e.sum(0)
-            back[rows] += e @ self.by_member[c].T
+            by_member[c], member_bias[c] = h[a:b].T @ e, e.sum(0)
+            back[a:b] += e @ self.by_member[c].T
         back *= 1 - h * h
         inputs = np.zeros_like(self.inputs)
+        small = np.uint16 if inputs.shape[1] < 1 << 16 else np.int64  # the narrow ones are sorted by radix
         for k in range(len(PLACES)):
-            order = np.argsort(context[:, k], kind="stable")
-            ids, first = np.unique(context[order, k], return_index=True)
-            inputs[k, ids] = np.add.reduceat(back[order], first, axis=0)
+            order = np.argsort(context[:, k].astype(small), kind="stable")
+            runs = list(_slices(context[order, k]))
+            inputs[k, [i for i, _, _ in runs]] = np.add.reduceat(back[order], [a for _, a, _ in runs], axis=0)
         return [inputs, back.sum(0), h.T @ d, d.sum(0), by_member, member_bias]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _log_total(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials; ``x`` is used up."""
+    top = x.max(1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return top + np.log(x.sum(1))
 
 
-def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(keys, kind="stable")
-    ids, first = np.unique(keys[order], return_index=True)
-    yield from zip(ids.tolist(), np.split(order, first[1:]), strict=True)
+def _slices(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, start, end) of each run of sorted keys."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    yield from zip(keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=False)
 
 
 def descend(net: Network, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.15) -> int:
