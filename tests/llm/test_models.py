@@ -255,6 +255,28 @@ def test_alignment_finds_all_that_brute_force_does(spark):
     assert all(r[3] == max(w[3] for w in want if w[:2] == r[:2]) for r in got)
 
 
+def test_block_alignment_in_small_steps(monkeypatch):
+    rng = random.Random(12)
+    lists = [[rng.randrange(4)] * rng.randrange(1, 50) + [rng.randrange(3) for _ in range(rng.randrange(40))] for _ in range(12)] + [[9] * 200, [9, 8] * 70]
+    values, lengths = np.concatenate([np.array(x, dtype=np.uint32) for x in lists]), np.array([len(x) for x in lists])
+    want = {}
+    for r, y in enumerate(lists):
+        for q, x in enumerate(lists):
+            for o in range(-len(y) + 1, len(x)):
+                n = sum(a == b for a, b in zip(x[max(o, 0) :], y[max(-o, 0) :], strict=False))
+                if n >= 3:
+                    want[r, q, o] = n
+    ways = []
+    for meetings in (3, 500, 1 << 20):
+        monkeypatch.setattr(chroma, "MEETINGS", meetings)
+        block = chroma.Block(np.arange(len(lists)), values, lengths)
+        assert {k[:3]: k[3] for k in zip(*(x.tolist() for x in block.hits(values, lengths, 3)), strict=True)} == want
+        ways.append([x.tolist() for x in block.best(values, lengths, 3, 8, 0.15)])
+    assert ways[0] == ways[1] == ways[2] and len(ways[0][0]) >= len(lists)
+    none = np.zeros(0, dtype=np.int64)
+    assert all(len(x) == 0 for x in block.best(none.astype(np.uint32), none, 3, 8, 0.15))
+
+
 def test_chroma_reads_all_widths_and_rates(spark):
     import io
     import wave

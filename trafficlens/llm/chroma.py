@@ -6,9 +6,9 @@ thresholds, in Gray code, so a frame is an unsigned 32-bit integer.  Two recordi
 at one offset more than at others: offset histograms name the offset, and the share of
 differing bits there says how alike they are.
 
-Recordings of equal fingerprints are one class.  The search joins the integers of query
-classes with those of all classes; integers are met in a shuffle that Spark can split, and
-each pair of classes is a list of (offset, hits) before its bits are compared.
+Recordings of equal fingerprints are one class.  The search meets all classes with the query
+classes, block by block: a table of the block's integers gives each recording's offset histograms, and
+the bits of every offset that is hit often enough are compared there and then.
 
 Edge cases: null, broken or too short audio has no fingerprint: class null, no matches;
 silence has a fingerprint like any other; repeated rows are of one class; an empty table
@@ -24,14 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_own, materialize
+from .common import drop_own, lean, materialize, slices
+from .store import listing, open_read
 
 RATE, FRAME, HOP = 4000, 1024, 512
 WIDTH = 8  # frames that a filter may span
 PLAYED = 256  # recordings rendered at once
+TASK = 512  # recordings that a task aligns
+READ = 64  # queries read at once
+BLOCK = 1 << 18  # integers of queries that are met at once
+MEETINGS = 1 << 20  # rows of a histogram before they are summed
+PIECE = 16  # longest run: bounds what one run can meet
 #: (kind, first class, classes, frames, thresholds): from a rule, not a table.
 FILTERS = [(k % 4, (5 * k) % 12, 2 + k % 5, 1 + k % WIDTH, (-0.25, 0.0, 0.25)) for k in range(16)]
 _GRAY = np.array([0, 1, 3, 2], dtype=np.uint64)
@@ -150,53 +157,144 @@ def bit_errors(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[int, float]:
     return n, float(np.bitwise_count(x[a : a + n].astype(np.uint32) ^ y[b : b + n].astype(np.uint32)).sum() / (32 * n))
 
 
-def runs(prints: DataFrame) -> DataFrame:
-    """(class, value, at, long): each integer of (class, prints), once for as long as it is held."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, PLAYED):
-                part = batch.slice(i, PLAYED)
-                owner, lists = part.column(0).to_numpy(zero_copy_only=False), part.column(1)
-                n = np.array([len(x) for x in lists])
-                x, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
-                at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (row[1:] != row[:-1]))))
-                place = at - (np.cumsum(n) - n)[row[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(owner[row[at]], pa.int64()), pa.array(x[at], pa.int64()), pa.array(place, pa.int32()), pa.array(np.diff(np.append(at, len(x))), pa.int32())], names=["class", "value", "at", "long"])
-
-    return prints.select("class", "prints").mapInArrow(run, "class bigint, value bigint, at int, long int")
+def runs(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, integer, place and length of each run of one integer, of rows laid end to end; runs over ``PIECE`` are cut."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(values)) - (np.cumsum(lengths) - lengths)[row]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+    since = np.arange(len(values)) - np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
+    at = np.flatnonzero(since % PIECE == 0)
+    return row[at], values[at], place[at], np.diff(np.append(at, len(values)))
+
+
+class Block:
+    """Fingerprints of some queries, laid end to end, with their runs in order of the integer."""
+
+    def __init__(self, owner: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> None:
+        self.owner, self.values, self.lengths, self.starts = owner, values, lengths, np.cumsum(lengths) - lengths
+        row, value, at, long = runs(values, lengths)
+        order = np.argsort(value, kind="stable")
+        self.row, self.value, self.at, self.long = row[order], value[order], at[order], long[order]
+        self.held = np.concatenate(([0], np.cumsum(self.long)))
+
+    def hits(self, values: np.ndarray, lengths: np.ndarray, min_hits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, query, offset and hits of each offset with ``min_hits`` equal integers, rows being recordings laid end to end.
+
+        Two runs of one integer give each offset at which they overlap the length of the overlap.
+        """
+        row, value, at, long = runs(values, lengths)
+        left, right = np.searchsorted(self.value, value, "left"), np.searchsorted(self.value, value, "right")
+        reach = int(lengths.max(initial=0))
+        span = reach + int(self.lengths.max(initial=0)) + 1
+        cost = self.held[right] - self.held[left] + (right - left) * (long - 1)
+        parts, waiting, most = [], 0, 4 * MEETINGS
+        for start, end in slices(cost, MEETINGS):
+            n = (right - left)[start:end]
+            mine = np.repeat(np.arange(start, end), n)
+            its = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + left[mine]
+            low = self.at[its] - at[mine] - long[mine] + 1
+            many = self.long[its] + long[mine] - 1
+            pair = np.repeat(np.arange(len(many)), many)
+            step = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+            equal = np.minimum(np.minimum(step + 1, many[pair] - step), np.minimum(self.long[its], long[mine])[pair])
+            key = ((row[mine] * len(self.owner) + self.row[its]) * span + low + reach)[pair] + step
+            parts.append(_summed(key, equal))
+            waiting += len(parts[-1][0])
+            if waiting > most:
+                parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
+                waiting = len(parts[0][0])
+                most = max(most, 2 * waiting)
+        if not parts:
+            return (np.zeros(0, dtype=np.int64),) * 4
+        key, n = _summed(*map(np.concatenate, zip(*parts, strict=True))) if len(parts) > 1 else parts[0]
+        key, n = key[n >= min_hits], n[n >= min_hits]
+        both, offset = np.divmod(key, span)
+        return *np.divmod(both, len(self.owner)), offset - reach, n
+
+    def best(self, values: np.ndarray, lengths: np.ndarray, min_hits: int, min_overlap: int, max_error: float) -> tuple[np.ndarray, ...]:
+        """Row, query, offset, hits, overlap and bit error of each pair that is alike, at its best offset."""
+        row, query, offset, n = self.hits(values, lengths, min_hits)
+        skip_x, skip_y = np.maximum(offset, 0), np.maximum(-offset, 0)
+        overlap = np.minimum(self.lengths[query] - skip_x, lengths[row] - skip_y)
+        ok = np.flatnonzero(overlap >= max(min_overlap, 1))
+        from_x, from_y, overlap = (self.starts[query] + skip_x)[ok], ((np.cumsum(lengths) - lengths)[row] + skip_y)[ok], overlap[ok]
+        error = np.zeros(len(ok))
+        for start, end in slices(overlap, MEETINGS):
+            long = overlap[start:end]
+            first = np.cumsum(long) - long
+            at = np.arange(long.sum())
+            bits = np.bitwise_count(self.values[at + np.repeat(from_x[start:end] - first, long)] ^ values[at + np.repeat(from_y[start:end] - first, long)])
+            error[start:end] = np.add.reduceat(bits, first, dtype=np.int64) / (32 * long)
+        like = error <= max_error
+        ok, overlap, error = ok[like], overlap[like], error[like]
+        row, query, offset, n = row[ok], query[ok], offset[ok], n[ok]
+        order = np.lexsort((-offset, np.abs(offset), -n, query, row))
+        both = row[order] * len(self.owner) + query[order]
+        top = order[np.flatnonzero(np.diff(both, prepend=-1))]
+        return row[top], query[top], offset[top], n[top], overlap[top], error[top]
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, with the sum of its numbers."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n[:0]
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, integers laid end to end, and how many each class has, of (class, prints)."""
+    lists = batch.column(1)
+    return batch.column(0).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _blocks(files: list[str]) -> Iterator[Block]:
+    """The queries of Parquet files of (class, prints), in blocks of about ``BLOCK`` integers."""
+    held, size = [], 0
+
+    def block() -> Block:
+        return Block(*map(np.concatenate, zip(*held, strict=True)))
+
+    for uri in files:
+        with open_read(uri) as f:
+            for batch in pq.ParquetFile(f).iter_batches(READ, columns=["class", "prints"]):
+                owner, values, lengths = _flat(batch)
+                ends = np.cumsum(lengths)
+                for start, end in slices(lengths, BLOCK):
+                    n = int(lengths[start:end].sum())
+                    if held and size + n > BLOCK:
+                        yield block()
+                        held, size = [], 0
+                    held.append((owner[start:end], values[ends[end - 1] - n : ends[end - 1]], lengths[start:end]))
+                    size += n
+    if held:
+        yield block()
 
 
 def align(prints: DataFrame, queries: DataFrame, id_col: str, min_hits: int = 3, min_overlap: int = 8, max_error: float = 0.15) -> DataFrame:
     """(query_class, class, offset, hits, overlap, bit_error) of classes alike, of ``class_of`` tables.
 
-    ``prints`` and ``queries`` are (class, prints).  Every place of an integer counts: two runs of one
-    integer give each offset at which they overlap the length of the overlap, so a held note
-    gives rows by its length and not by the square.  Every offset of ``min_hits`` is tested; of
-    those that pass, a pair has the one of most hits, then the nearest.
+    ``prints`` and ``queries`` are (class, prints).  The queries are written to the shared folder, and each task
+    meets its recordings with all of them, a block of bounded size after the other, so no integer is
+    shuffled.  Every place of an integer counts, and a held note costs by its length and not by the square.
+    Every offset of ``min_hits`` is tested; of those that pass, a pair has the one of most hits, then the nearest.
     """
-    named = lambda df, k: runs(df).select(F.col("class").alias(k), "value", F.col("at").alias(f"at_{k}"), F.col("long").alias(f"long_{k}"))
-    met = named(queries, "q").join(named(prints, "c"), "value").where("q != c").selectExpr("q", "c", "long_q", "long_c", "at_q - at_c - long_c + 1 as lo", "at_q + long_q - 1 - at_c as hi")
-    each = met.select("*", F.explode(F.sequence("lo", "hi")).alias("offset"))
-    offsets = each.groupBy("q", "c", "offset").agg(F.sum(F.least(F.expr("offset - lo + 1"), F.expr("hi - offset + 1"), "long_q", "long_c")).cast("bigint").alias("hits")).where(F.col("hits") >= min_hits)
-    pairs = offsets.groupBy("q", "c").agg(F.sort_array(F.collect_list(F.struct("hits", (-F.abs("offset")).alias("near"), "offset")), False).alias("tried"))
-    joined = pairs.join(queries.select(F.col("class").alias("q"), F.col("prints").alias("x")), "q").join(prints.select(F.col("class").alias("c"), F.col("prints").alias("y")), "c")
+    asked = materialize(queries.select("class", "prints"), "print-queries")
+    files = [uri for uri, size in listing(prints.sparkSession, asked._scratch, ".parquet") if size]
+    tasks = max(1, -(-prints.count() // TASK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for q, c, tried, x, y in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                x, y = np.array(x, dtype=np.uint32), np.array(y, dtype=np.uint32)
-                for t in tried:
-                    overlap, error = bit_errors(x, y, t["offset"])
-                    if overlap >= min_overlap and error <= max_error:
-                        rows.append((q, c, t["offset"], t["hits"], overlap, error))
-                        break
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["query_class", "class", "offset", "hits", "overlap", "bit_error"])
-
-    return joined.select("q", "c", "tried", "x", "y").mapInArrow(run, "query_class bigint, class bigint, offset int, hits bigint, overlap bigint, bit_error double")
+            owner, values, lengths = _flat(batch)
+            for block in _blocks(files):
+                row, query, offset, n, overlap, error = block.best(values, lengths, min_hits, min_overlap, max_error)
+                other = block.owner[query] != owner[row]
+                columns = [block.owner[query], owner[row], offset.astype(np.int32), n, overlap, error]
+                yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in columns], names=["query_class", "class", "offset", "hits", "overlap", "bit_error"])
+
+    given = prints.select("class", "prints").repartition(tasks, "class")
+    return given.mapInArrow(lean(run), "query_class bigint, class bigint, offset int, hits bigint, overlap bigint, bit_error double")
 
 
 def classes(found: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
