@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import io
 import random
 import zlib
@@ -135,3 +136,37 @@ def test_broken_members_are_passed_over():
     middle = data.index(whole[3]) - 1
     parts = [[at for at, _ in warc.RangeReader(io.BytesIO(data), a, b, len(data))] for a, b in ((0, middle), (middle, len(data)))]
     assert sum(parts, []) == found
+
+
+def test_padding_between_members():
+    whole = [warc.gzip_member(warc.record(i, "u", bytes([65 + i]) * 100, b"\0" * 20, None, "d")) for i in range(3)]
+    data = whole[0] + b"\0" * 200 + whole[1] + b"\r\n" + whole[2] + b"\0" * 8
+    want = [data.index(x) for x in whole]
+    for cut in (1, want[1] - 1, want[1], want[2] - 1, len(data) - 4):
+        assert [at for a, b in ((0, cut), (cut, len(data))) for at, _ in warc.RangeReader(io.BytesIO(data), a, b, len(data))] == want
+    cut_off = data[:-8] + b"junk"
+    assert [at for at, _ in warc.RangeReader(io.BytesIO(cut_off), 0, len(cut_off), len(cut_off))] == want[:2]
+
+
+def test_records_of_others(spark, tmp_path):
+    head = "WARC-Type: {}\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\n"
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+
+    def member(kind, block, more="", size=None):
+        fields = head.format(kind) + more + f"Content-Length: {len(block) if size is None else size}\r\n\r\n"
+        return warc.gzip_member(b"WARC/1.0\r\n" + fields.encode() + block + b"\r\n\r\n")
+
+    right, wrong = hashlib.sha1(b"body"), "WARC-Payload-Digest: sha1:" + "A" * 32 + "\r\n"
+    given = [
+        member("warcinfo", b"software: x"), member("response", http), member("response", http, wrong), member("response", http, f"WARC-Payload-Digest: sha1:{right.hexdigest()}\r\n"),
+        member("response", http, "WARC-Payload-Digest: md5:abc\r\n"), member("revisit", b"HTTP/1.1 200 OK\r\n\r\n", wrong), member("revisit", b""), member("response", b"20240101 a 1.2.3.4", "Content-Type: text/dns\r\n"),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(given))
+    rows = sorted(warc.read_archives(spark, f"file://{tmp_path}", 100).collect(), key=lambda r: r.offset)
+    body = right.hexdigest()
+    assert [(r.record_type, r.payload_bytes, r.payload_digest, r.digest_ok) for r in rows] == [
+        ("response", 4, body, None), ("response", 4, body, False), ("response", 4, body, True), ("response", 4, body, None),
+        ("revisit", None, "0" * 40, None), ("revisit", None, None, None), ("response", 18, hashlib.sha1(b"20240101 a 1.2.3.4").hexdigest(), None),
+    ]
+    assert all(r.page_id is None and r.url == "http://a/" for r in rows) and bytes(rows[-1].payload).startswith(b"2024")
+    assert warc.parse(member("x", b"ab", size="?") and b"WARC/1.0\r\nContent-Length: ?\r\n\r\nab")[1] == b"ab"

@@ -6,14 +6,20 @@ least ``min_bytes`` bytes, that with the largest id is a ``response`` and the ot
 HTTP head, whose Content-Length is that of the full payload.
 
 Reading.  A task has a byte range.  It looks for gzip magic in it, and takes a place for a
-member if what is decoded there begins as a WARC record and, at the member's end, there is
-another member's magic or the file ends.  It owns the records whose members start in its range and
-reads on past its end to finish the last.  From a valid member on, it steps from end to
-start, and looks for magic only where a member is broken.
+member if what is decoded there begins as a WARC record and, after the member and padding of NULs or
+white space, there is another member's magic or the file ends.  It owns the records whose members start in its
+range and reads on past its end to finish the last.  From a valid member on, it steps from end to
+start, and looks for magic only where a member is broken.  The rule is the same for every task, so the
+records don't depend on the ranges.
 
 Edge cases: null pages have an empty payload; rows that tie on the largest id are all
 responses; null ids are the smallest, written as empty and read as null; null URLs are
-empty and read as null; empty payloads are written; an empty table writes no file and gives no rows.
+empty and read as null; empty payloads are written; an empty table writes no file and gives no rows; other
+columns are ignored.  In archives of others, record ids that aren't ours are null; ``payload_digest`` is that of
+the payload as read, and ``digest_ok`` says whether the record's own agrees (null: it has none, or none in SHA-1);
+a revisit has no payload, so its digest is what the record says, null if nothing; its length is null
+without a Content-Length in its HTTP head.  A member that ends in anything else than padding or a member counts
+as broken.
 """
 
 from __future__ import annotations
@@ -35,8 +41,9 @@ from .store import create, listing, open_read
 
 MAGIC = b"\x1f\x8b\x08"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, file string, offset bigint"
+SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, file string, offset bigint, digest_ok boolean"
 STEP = 1 << 20
+PADDING = b"\0\t\n\r "
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, date: str) -> bytes:
@@ -107,7 +114,7 @@ class RangeReader:
         return self.file.read(n)
 
     def member(self, at: int) -> tuple[bytes, int]:
-        """The member at ``at``, decoded, and where it ends."""
+        """The member at ``at``, decoded, and where it and padding after it end."""
         inflate, out, pos = zlib.decompressobj(31), [], at
         try:
             while not inflate.eof:
@@ -121,11 +128,20 @@ class RangeReader:
                 pos += len(data)
         except zlib.error as e:
             raise Member(str(e)) from e
-        end = pos - len(inflate.unused_data)
+        end = self._after_padding(pos - len(inflate.unused_data))
         if end < self.size and self._at(end, 3) != MAGIC:
             raise Member("no member follows")
         return b"".join(out), end
 
+    def _after_padding(self, at: int) -> int:
+        while at < self.size:
+            data = self._at(at, 64)
+            rest = data.lstrip(PADDING)
+            at += len(data) - len(rest)
+            if rest or not data:
+                break
+        return at
+
     def _scan(self, at: int) -> int | None:
         """The next place of gzip magic before the end of the range."""
         while at < self.end:
@@ -153,23 +169,37 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    return fields, rest[: int(fields.get("content-length", len(rest)))]
+    size = fields.get("content-length", "")
+    return fields, rest[: int(size)] if re.fullmatch(r"[0-9]+", size) else rest
+
+
+def _sha1(field: str | None) -> bytes | None:
+    """The SHA-1 that a digest field holds, in base 32 or hex."""
+    kind, _, text = (field or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        got = bytes.fromhex(text) if len(text) == 40 else base64.b32decode(text.upper())
+    except ValueError:
+        return None
+    return got if len(got) == 20 else None
 
 
 def _row(at: int, data: bytes, file: str, with_payload: bool) -> tuple | None:
     fields, block = parse(data)
-    if fields.get("warc-type") not in ("response", "revisit"):
+    kind = fields.get("warc-type")
+    if kind not in ("response", "revisit"):
         return None
-    page = lambda k: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(k, ""))) else None
-    head, _, payload = block.partition(b"\r\n\r\n")
-    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:"))
-    if fields["warc-type"] == "response":
-        if hashlib.sha1(payload).digest() != digest:
-            raise ValueError(f"payload digest differs in {file} at {at}")
-        n = len(payload)
+    page = lambda k: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d{1,18}|-?[1-8]\d{18}|-?9[01]\d{17})>", fields.get(k, ""))) else None
+    head, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "application/http").startswith("application/http") else (b"", b"", block)
+    said = _sha1(fields.get("warc-payload-digest"))
+    if kind == "response":
+        n, digest = len(payload), hashlib.sha1(payload).digest()
+        agrees = None if said is None else said == digest
     else:
-        n = int(re.search(rb"(?im)^content-length:\s*(\d+)", head)[1])
-    return page("warc-record-id"), fields.get("warc-target-uri") or None, fields["warc-type"], page("warc-refers-to"), n, digest.hex(), payload if with_payload and fields["warc-type"] == "response" else None, file, at
+        size = re.search(rb"(?im)^content-length:\s*(\d{1,18})\s*$", head)
+        n, digest, agrees = int(size[1]) if size else None, said, None
+    return page("warc-record-id"), fields.get("warc-target-uri") or None, kind, page("warc-refers-to"), n, digest.hex() if digest else None, payload if with_payload and kind == "response" else None, file, at, agrees
 
 
 def read_archives(spark: SparkSession, folder: str, split_bytes: int = 16 << 20, with_payload: bool = True) -> DataFrame:
@@ -178,7 +208,7 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = 16 << 20,
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64()), ("digest_ok", pa.bool_())])
         for batch in batches:
             for uri, start, end, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with open_read(uri) as f:
