@@ -1,11 +1,13 @@
 import json
 import random
 import struct
+import time
 import urllib.error
 import urllib.request
 
 import pytest
 
+from trafficlens.cli import gateway_answers
 from trafficlens.operators.gateway import Gateway
 from trafficlens.operators.sketches import HyperLogLog
 from trafficlens.operators.snapshot import Entry, encode_batch
@@ -143,3 +145,34 @@ def test_http():
         with pytest.raises(urllib.error.HTTPError):
             get(path)
     server.shutdown()
+
+
+def test_gateway_answers(spark):
+    second = parse_query("{name: other, window: {size: 60s}, measure: {type: distinct_count, field: src.ip}}")
+    g = Gateway([QUERY, second], max_nodes=3)
+
+    def hosts(start, end, *names):
+        h = HyperLogLog(12)
+        for n in names:
+            h.update(n)
+        return h.dump(start * 10**9, end * 10**9)
+
+    rows, votes = g.answer(spark, 10)
+    assert rows.count() == 0 and votes == []
+    server = http.serve(gateway_answers(g, spark, 10**18), lambda body: g.push(body, time.time_ns()))
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    get = lambda p: urllib.request.urlopen(base + p).read().decode()
+    push = lambda node, *entries: urllib.request.urlopen(urllib.request.Request(base + "/v1/snapshots", encode_batch(node, list(entries)))).read()
+    push("a", Entry("sources", "hll", hosts(0, 60, b"x", b"y")))
+    push("b", Entry("sources", "hll", hosts(0, 60, b"y", b"z")), Entry("other", "hll", hosts(0, 60, b"q")))
+    push("a", Entry("other", "hll", hosts(60, 120, b"q")))
+    first, last = json.loads(get("/v1/queries"))[::-1], None
+    assert [(q["query"], q["nodes_merged"], q["nodes_known"], q["complete"], len(q["estimates"])) for q in first] == [("sources", 2, 2, True, 1), ("other", 1, 2, False, 0)]
+    one = first[0]["estimates"][0]
+    assert round(one["estimate"]) == 3 and one["update_count"] == 4 and one["window_end_nanos"] == 60 * 10**9
+    text = get("/metrics")
+    assert 'query="sources"' in text and 'query="other"' not in text and "gateway_queries_waiting 1" in text
+    push("b", Entry("other", "hll", hosts(60, 120, b"r")))
+    last = json.loads(get("/v1/queries"))[0]
+    assert last["complete"] and round(last["estimates"][0]["estimate"]) == 2
+    server.shutdown()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -137,9 +138,32 @@ def agent(args: argparse.Namespace) -> int:
     return _wait(server, args.once)
 
 
+def gateway_answers(state: Gateway, spark: SparkSession, stale_nanos: int) -> dict[str, http.Route]:
+    """Routes of a gateway; one merge at a time, over the states that are there when it is asked."""
+    lock = threading.Lock()
+
+    def answer() -> tuple[DataFrame, list[dict]]:
+        with lock:
+            rows, votes = state.answer(spark, time.time_ns(), stale_nanos)
+            return spark.createDataFrame(rows.collect(), rows.schema), votes  # capped by each plan
+
+    def metrics() -> str:
+        rows, votes = answer()
+        gauges = {"nodes_known": len(state.nodes()), "queries_complete": sum(v["complete"] for v in votes), "queries_waiting": sum(not v["complete"] for v in votes)}
+        return render.prometheus(rows, list(state.plans.values())) + render.health(state.counters, gauges, "gateway")
+
+    def queries() -> list[dict]:
+        rows, votes = answer()
+        found = json.loads(render.to_json(rows))
+        known = {v["query"]: v for v in votes}
+        return [{"query": name, **known.get(name, {"nodes_merged": 0, "nodes_known": 0, "complete": False}), "estimates": [r for r in found if r["query_name"] == name]} for name in sorted(state.plans)]
+
+    return http.gateway_routes(lambda: True, metrics, queries, state.nodes)
+
+
 def gateway(args: argparse.Namespace) -> int:
     state = Gateway(load_queries(args.query), args.max_nodes)
-    routes = http.gateway_routes(lambda: True, lambda: render.health(state.counters, {"nodes_known": len(state.nodes())}, "gateway"), lambda: sorted(state.plans), state.nodes)
+    routes = gateway_answers(state, session(), args.stale_seconds * 1_000_000_000)
     return _wait(http.serve(routes, lambda body: state.push(body, time.time_ns()), port=args.port), args.once)
 
 
@@ -175,7 +199,7 @@ def parser() -> argparse.ArgumentParser:
     command("synth", make_trace, ("--out", {"required": True}), ("--packets", {"type": int, "default": 50_000}), ("--seconds", {"type": int, "default": 120}), ("--seed", {"type": int, "default": 7}), ("--scanners", {"type": int, "default": 2}), ("--talkers", {"type": int, "default": 3}))
     command("bench", bench, query, mode, ("--packets", {"type": int, "default": 1_000_000}), ("--gbps", {"type": float, "default": 10}))
     command("agent", agent, query, mode, ("--events", {"required": True}), port, once)
-    command("gateway", gateway, query, ("--max-nodes", {"type": int, "default": 1024}), port, once)
+    command("gateway", gateway, query, ("--max-nodes", {"type": int, "default": 1024}), ("--stale-seconds", {"type": int, "default": 300}), port, once)
     return top
 
 

@@ -11,14 +11,14 @@ from __future__ import annotations
 import threading
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.dsl import Query
 from ..plans.planner import Plan, format_bytes, plan
 from .bounded import check_state, estimates_of, merged
-from .exact import WINDOW
+from .exact import WINDOW, estimates
 from .snapshot import Incompatible, SnapshotError, decode_batch
 
 STALE_NANOS = 300_000_000_000
@@ -117,7 +117,7 @@ class Gateway:
     def _admit(self, node: str, name: str, given: dict[str, bytes], now: int) -> None:
         if name not in self.plans:
             raise SnapshotError("unknown query")
-        start, end, _ = check_state(given, self.plans[name].query, self.plans[name], self.seed)
+        start, end, sketches = check_state(given, self.plans[name].query, self.plans[name], self.seed)
         old = self.states.get((name, node))
         if old is not None and end < old["end"]:
             old["received"] = now  # too old to count, but the node lives
@@ -128,17 +128,33 @@ class Gateway:
         size = sum(map(len, given.values()))
         if sum(s["size"] for k, s in self.states.items() if k != (name, node)) + size > self.budget:
             raise SnapshotError("over the memory budget")
-        self.states[name, node] = {"start": start, "end": end, "received": now, "size": size, "parts": given}
+        self.states[name, node] = {"start": start, "end": end, "received": now, "size": size, "parts": given, "updates": sketches[0].updates}
 
     def rows(self) -> list[tuple]:
         """What :func:`merge` takes, a row a component."""
         with self.lock:
             states = [(key, self.states[key]) for key in sorted(self.states)]
-        return [(node, name, c, s["start"], s["end"], 0, b, s["received"]) for (name, node), s in states for c, b in sorted(s["parts"].items())]
+        return [(node, name, c, s["start"], s["end"], s["updates"], b, s["received"]) for (name, node), s in states for c, b in sorted(s["parts"].items())]
+
+    def answer(self, spark: SparkSession, now_nanos: int, stale_nanos: int = STALE_NANOS) -> tuple[DataFrame, list[dict]]:
+        """Result rows of the queries whose nodes agree, and how far the nodes of each query do.
+
+        An entry names its query, the window chosen, how many nodes have it, how many are known, and whether
+        these are all; queries that no live node has sent are absent.
+        """
+        given = spark.createDataFrame(self.rows(), ROWS)
+        votes = [r.asDict() for r in chosen(newest(fresh(given, now_nanos, stale_nanos))).orderBy("query").collect()]
+        out = spark.createDataFrame([], RESULT)
+        for r in votes:
+            p = self.plans[r["query"]]
+            if r["complete"]:
+                out = out.unionByName(estimates(merge(given, p.query, now_nanos, stale_nanos, self.seed, p), p.query, p.describe()))
+        return out, votes
 
     def nodes(self) -> list[str]:
         with self.lock:
             return sorted({n for _, n in self.states})
 
 
+RESULT = "query_name string, window_start_nanos bigint, window_end_nanos bigint, group array<struct<name:string,value:string>>, estimate double, lower_bound double, upper_bound double, confidence double, algorithm string, sketch_bytes bigint, update_count bigint"
 ROWS = "node string, query string, component string, window_start_nanos bigint, window_end_nanos bigint, update_count bigint, bytes binary, received_nanos bigint"
