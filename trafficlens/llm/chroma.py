@@ -12,7 +12,8 @@ the bits of every offset that is hit often enough are compared there and then.
 
 Edge cases: null, broken or too short audio has no fingerprint: class null, no matches;
 silence has a fingerprint like any other; repeated rows are of one class; an empty table
-gives empty tables.
+gives empty tables.  Long audio is read whole.  Of offsets that tie in hits and distance from 0 the greater
+is given.  Other columns are ignored.
 """
 
 from __future__ import annotations
