@@ -65,6 +65,33 @@ def test_simple8b_blocks(top):
         assert (simple8b.decode_block(words, escapes) == values).all() and len(escapes) == (values >= 1 << 60).sum()
 
 
+def plain_words(values):
+    """Each word by the rule: the greatest number of ids that fit."""
+    i, words = 0, []
+    while i < len(values):
+        s, (count, bits) = next(((s, p) for s, p in enumerate(simple8b.PACKS, 1) if i + p[0] <= len(values) and max(values[i : i + p[0]]) < 1 << p[1]), (0, (1, 0)))
+        words.append(s << 60 | (sum(v << k * bits for k, v in enumerate(values[i : i + count])) if s else 0))
+        i += count
+    return words
+
+
+def test_simple8b_takes_the_most_that_fit():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        top = 1 << rng.integers(1, 64, rng.integers(1, 200)).astype(np.uint64)
+        values = np.where(rng.random(len(top)) < rng.random(), rng.integers(0, top, dtype=np.uint64), rng.integers(0, 3, len(top), dtype=np.uint64))
+        assert simple8b.encode_block(values)[0].tolist() == plain_words(values.tolist())
+
+
+def test_a_word_is_kept_once():
+    """A word met bare and before marks has one entry, so that twice as many are remembered."""
+    encode, tok = simple8b.Encoder(BYTE), library(BYTE)
+    for w in ["plain", "été", "Ωmega"]:
+        for t in (f"a {w} {w}, {w}.", f"b {w}"):
+            assert list(encode(t)) == tok.encode(t, add_special_tokens=False).ids
+        assert w in encode.pieces and f" {w}" not in encode.tokens
+
+
 def test_file_holds_documents():
     rng = np.random.default_rng(3)
     docs = [(None if i == 0 else i, rng.integers(0, 50_000, rng.integers(0, 9000))) for i in range(12)]

@@ -59,22 +59,25 @@ def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     bits_of = bit_lengths(values)
     choice = np.zeros(n, dtype=np.int8)  # 0: escape
-    top = int(bits_of.max()) if n else 0
-    unfit = np.zeros(n + 1, dtype=np.int32)
+    widest = {1: bits_of}  # the most bits in the next 1, 2, 4 ... values of each place
     for s in range(len(PACKS), 0, -1):  # from wide to dense; the densest that fits is set last
         count, bits = PACKS[s - 1]
         if count > n:
             break
-        if top > bits:
-            np.cumsum(bits_of > bits, out=unfit[1:])
-            choice[: n - count + 1][unfit[count:] == unfit[: n - count + 1]] = s
-        else:
-            choice[: n - count + 1] = s
-    step = (np.arange(n) + _COUNT[choice]).tolist()
+        half = 1 << count.bit_length() - 1
+        if half not in widest:
+            last = widest[half // 2]
+            widest[half] = np.maximum(last[: -half // 2], last[half // 2 :])
+        most = widest[half]
+        fits = np.maximum(most[: n - count + 1], most[count - half :]) <= bits
+        if not fits.any():  # nor does a denser one, which takes more values of fewer bits
+            break
+        np.copyto(choice[: n - count + 1], s, where=fits)
+    step = _COUNT.astype(np.uint8)[choice].tobytes()
     at, i = [], 0
     while i < n:
         at.append(i)
-        i = step[i]
+        i += step[i]
     at = np.array(at, dtype=np.int64)
     picked = choice[at]
     words = picked.astype(np.uint64) << np.uint64(60)
@@ -82,8 +85,10 @@ def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s:
             count, bits = PACKS[s - 1]
             rows = np.flatnonzero(picked == s)
-            shifts = np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            words[rows] |= np.bitwise_or.reduce(values[at[rows][:, None] + np.arange(count)] << shifts, axis=1)
+            first, packed = at[rows], words[rows]
+            for k in range(count):
+                packed |= values[first + k] << np.uint64(k * bits)
+            words[rows] = packed
     return words, values[bits_of > 60]
 
 
@@ -246,19 +251,28 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
         model = self.library.model
 
-        def tokenize(t: str) -> bytes:
-            letters = "\u0120" + t[1:] if t[0] == " " and t.isascii() and t[1:].isalpha() else t.encode().decode("latin-1").translate(_LETTERS)
+        def ids(letters: str) -> bytes:
             return array("I", [x.id for x in model.tokenize(letters)]).tobytes()
 
+        def in_letters(text: str) -> str:
+            return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(_LETTERS)
+
+        def tokenize(t: str) -> bytes:
+            return self.pieces[t[1:]] if t[0] == " " and t[1:].isalpha() else ids(in_letters(t))
+
+        def after_space(piece: str) -> bytes:
+            """Of a space and ``piece``, which begins with none."""
+            if piece.isalpha():
+                return ids("\u0120" + in_letters(piece))
+            if piece[:-1].isalpha() and piece[-1] in ".,":
+                return self.pieces[piece[:-1]] + self.tokens[piece[-1]]
+            return self.encode(" " + piece)
+
         self.tokens = Remembered(tokenize)
-        self.pieces = Remembered(lambda piece: self.encode(" " + piece))
+        self.pieces = Remembered(after_space)
 
     def encode(self, text: str) -> bytes:
         """Without remembering the whole."""
-        if text[1:].isalpha() and text[0] == " ":
-            return self.tokens[text]
-        if text[1:-1].isalpha() and text[0] == " " and text[-1] in ".,":
-            return self.tokens[text[:-1]] + self.tokens[text[-1]]
         return b"".join(map(self.tokens.__getitem__, _split.findall(text)))
 
     def _plain(self, text: str) -> bytes:
