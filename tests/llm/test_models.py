@@ -167,6 +167,24 @@ def test_vocabulary_grows():
     assert np.allclose(np.exp(net.log_probability(np.zeros((1600, 4), dtype=int), np.arange(1600))).sum(), 1, atol=1e-3)
 
 
+def test_near_scores_need_no_maximum(monkeypatch):
+    """Without and with each row's maximum taken off, all is the same; weights whose exponentials are no floats are told apart."""
+    rng = np.random.default_rng(3)
+    net = pseudo_likelihood.Network.fresh()
+    net.by_class *= 20
+    context, target = rng.integers(0, pseudo_likelihood.VOCAB + 1, (3000, 4)), rng.integers(0, pseudo_likelihood.VOCAB, 3000)
+    assert net.near() == (True, [True] * pseudo_likelihood.CLASSES)
+    near = [net.log_probability(context, target), *net.gradients(context, target)]
+    monkeypatch.setattr(pseudo_likelihood, "NEAR", 0)
+    assert net.near() == (False, [False] * pseudo_likelihood.CLASSES)
+    far = [net.log_probability(context, target), *net.gradients(context, target)]
+    assert all(np.allclose(a, b, rtol=1e-4, atol=1e-6) for a, b in zip(near, far, strict=True))
+    monkeypatch.undo()
+    net.member_bias[3, 5] = 500
+    assert net.near() == (True, [c != 3 for c in range(pseudo_likelihood.CLASSES)])
+    assert np.isfinite(net.log_probability(context, target)).all() and all(np.isfinite(g).all() for g in net.gradients(context, target))
+
+
 def test_network_gradients():
     rng = np.random.default_rng(4)
     net = pseudo_likelihood.Network.fresh()

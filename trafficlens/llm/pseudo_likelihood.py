@@ -42,6 +42,7 @@ SIDE, HIDDEN, CLASSES, MEMBERS, BUCKETS = 2, 16, 32, 32, 64
 VOCAB = CLASSES * MEMBERS  # the least
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 BATCH, HELD_WORDS, HELD_TABLE, CHUNKS = 8192, 1 << 22, 1 << 20, 64
+NEAR = 80  # exponentials of scores no further from 0 than this, and their sums, are floats
 FIXED = 1 << 32  # logarithms are added as whole numbers, so that their order is nothing
 
 
@@ -78,17 +79,23 @@ class Network:
             h += self.inputs[k, context[:, k]]
         return np.tanh(h)
 
+    def near(self) -> tuple[bool, list[bool]]:
+        """Whether no score of a class, and none of each class' members, can pass :data:`NEAR`: hidden values are within 1."""
+        members = np.abs(self.by_member).sum(1) + np.abs(self.member_bias)
+        return bool((np.abs(self.by_class).sum(0) + np.abs(self.class_bias)).max() < NEAR), (members.max(1) < NEAR).tolist()
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         members = self.member_bias.shape[1]
         order = np.argsort((target // members).astype(np.uint16), kind="stable")  # so that a class' rows are a slice
         h, cls, member = self.hidden(context[order]), target[order] // members, target[order] % members
+        near, near_in = self.near()
         score = h @ self.by_class + self.class_bias
         own = score[np.arange(len(cls)), cls]
-        held = own - _log_total(score)
+        held = own - _log_total(score, near)
         for c, a, b in _slices(cls):
             score = h[a:b] @ self.by_member[c] + self.member_bias[c]
             own = score[np.arange(b - a), member[a:b]]
-            held[a:b] += own - _log_total(score)
+            held[a:b] += own - _log_total(score, near_in[c])
         out = np.empty_like(held)
         out[order] = held
         return out
@@ -99,13 +106,14 @@ class Network:
         order = np.argsort((target // members).astype(np.uint16), kind="stable")
         context, target = context[order], target[order]
         h, cls, member = self.hidden(context), target // members, target % members
-        d = _softmax(h @ self.by_class + self.class_bias)
+        near, near_in = self.near()
+        d = _softmax(h @ self.by_class + self.class_bias, near)
         d[np.arange(n), cls] -= 1
         d /= n
         by_member, member_bias = np.zeros_like(self.by_member), np.zeros_like(self.member_bias)
         back = d @ self.by_class.T
         for c, a, b in _slices(cls):
-            e = _softmax(h[a:b] @ self.by_member[c] + self.member_bias[c])
+            e = _softmax(h[a:b] @ self.by_member[c] + self.member_bias[c], near_in[c])
             e[np.arange(b - a), member[a:b]] -= 1
             e /= n
             by_member[c], member_bias[c] = h[a:b].T @ e, e.sum(0)
@@ -115,29 +123,38 @@ class Network:
         small = np.uint16 if inputs.shape[1] < 1 << 16 else np.int64  # the narrow ones are sorted by radix
         for k in range(len(PLACES)):
             order = np.argsort(context[:, k].astype(small), kind="stable")
-            runs = list(_slices(context[order, k]))
-            inputs[k, [i for i, _, _ in runs]] = np.add.reduceat(back[order], [a for _, a, _ in runs], axis=0)
+            keys = context[order, k]
+            starts = _starts(keys)
+            inputs[k, keys[starts]] = np.add.reduceat(back[order], starts, axis=0)
         return [inputs, back.sum(0), h.T @ d, d.sum(0), by_member, member_bias]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+def _softmax(x: np.ndarray, near: bool) -> np.ndarray:
+    if not near:
+        x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
     x /= x.sum(1, keepdims=True)
     return x
 
 
-def _log_total(x: np.ndarray) -> np.ndarray:
+def _log_total(x: np.ndarray, near: bool) -> np.ndarray:
     """The logarithm of the sum of each row's exponentials; ``x`` is used up."""
+    if near:
+        return np.log(np.exp(x, out=x).sum(1))
     top = x.max(1)
     x -= top[:, None]
     np.exp(x, out=x)
     return top + np.log(x.sum(1))
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of sorted keys start."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+
+
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(key, start, end) of each run of sorted keys."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    starts = _starts(keys)
     yield from zip(keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=False)
 
 
