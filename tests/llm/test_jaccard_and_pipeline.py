@@ -160,3 +160,31 @@ def test_scratch_tables_have_small_row_groups(spark):
     sizes = [g.total_byte_size for f in ds.dataset(urlparse(table._scratch).path, format="parquet").get_fragments() for g in f.row_groups]
     assert len(sizes) > 1 and max(sizes) <= 1.5 * ROW_GROUP
     assert table.count() == 8000 and table.exceptAll(texts).isEmpty()
+
+
+def test_stages_bound_the_bytes_of_batches(spark):
+    """10,000 rows were a batch whatever their texts, and executors of the pipeline's second stage went over 3000 MB."""
+    import corpus_pipeline as pipeline
+
+    from trafficlens.llm.common import BATCH
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('some words ', id, ' '), 300) AS text", "'en' AS lang", "'web' AS source", "1L AS n_chars")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "rows"])
+
+    try:
+        for name, stage in pipeline.STAGES:
+            spark.conf.unset(key)
+            if name == "quality_classifier" and not os.path.isdir(SF):  # reads the labels
+                continue
+            stage(spark, docs.limit(50), SF)
+            seen = docs.mapInArrow(sizes, "bytes bigint, rows bigint").collect()
+            assert max(r.bytes for r in seen) <= 1.5 * BATCH and sum(r.rows for r in seen) == 6000, name
+        spark.conf.set(key, "1000000")  # the session's own bound stays
+        pipeline.rules(spark, docs.limit(50), SF)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)

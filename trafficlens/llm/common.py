@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Bytes of a row group of scratch tables: a task that writes or reads one holds that much of its heap, not Parquet's 128 MB.
 ROW_GROUP = 8 << 20
+#: Bytes of a batch that goes to Python or comes back, about: Spark's 10,000 rows are 35 MB of texts, held several times over by the executor and its worker.
+BATCH = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +55,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's batches of rows for Python are cut at :data:`BATCH` bytes, unless it has a bound of its own.
+
+    A row longer than that is a batch alone.  Spark reads the setting when a plan runs, so it is not put back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of materialized tables that nothing will read again."""
     for df in tables:
