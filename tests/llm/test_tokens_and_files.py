@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trafficlens.llm import simple8b, warc
@@ -114,6 +115,26 @@ def test_encoder_equals_the_library():
         assert list(encode(t)) == tok.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("slots", [1 << 21, 256])
+def test_batches_equal_the_library(monkeypatch, slots):
+    """Whole arrays at once, with a table that is emptied again and again too; no word of up to 16 bytes is made twice."""
+    monkeypatch.setattr(simple8b.Batches, "SLOTS", slots)
+    if slots == 256:
+        monkeypatch.setattr(simple8b.Batches, "MOST", 128)
+        monkeypatch.setattr(simple8b.Batches, "CHUNK", 100)
+    encode, tok = simple8b.Batches(simple8b.Encoder(BYTE)), library(BYTE)
+    more = [None, "", " ", "  a", "a  b \n c ", "x" * 5000, "\0 \0\0 a\0", "One. Two, it's.\nThree!\n\nFour \nFive\n", "\n", "a\n", "a\nb", "«\nb", "b\xa0\nc", "sixteen-letters! seventeen-letters", "x «y» – 中 \u2003z \u3000 \x85", "12345678 123456789 1234567 12345678"]
+    given = [*texts(4000, 5), *more]
+    for t, got in zip(given, encode(pa.array(given, pa.string())), strict=True):
+        assert got.tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+    assert encode(pa.array([], pa.string())) == []
+    if slots > 256:
+        short = [t for t in given if t and max(map(len, t.encode().split(b" "))) <= 16 and "<|" not in t]
+        monkeypatch.setattr(encode, "_make", None)
+        again = encode(pa.array([None, *short], pa.string()).slice(1))
+        assert len(short) > 1000 and all(a.tolist() == tok.encode(t, add_special_tokens=False).ids for a, t in zip(again, short, strict=True))
+
+
 def test_token_files(docs_of, odd):
     tok = library(BYTE)
     given = odd + texts(40, 3)

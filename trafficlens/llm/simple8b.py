@@ -30,8 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import byte_sizes, scratch_path, slices
 from .store import create, listing, open_read
+from .textscan import IS_SPACE, buffer_of, mix
 
 MAGIC = b"TLS8B\x00\x00\x01"
 BLOCK = 8192
@@ -285,13 +286,167 @@ class Encoder:
         return np.frombuffer(b"".join(self.special.get(x) or self._plain(x) for x in self.cut.split(text) if x), dtype="<u4")
 
 
-_encoders: dict[str, Encoder] = {}
+#: White space of two and three bytes, as whole numbers.
+_WIDE = [np.array([int.from_bytes(c.encode()) for c in map(chr, range(128, 0x3001)) if re.match(f"[{SPACE}]", c) and len(c.encode()) == n]) for n in (2, 3)]
 
+_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[list(b'.,;:!?)"\n')] = True
 
-def encoder(path: str) -> Encoder:
+
+class Batches:
+    """Ids of whole Arrow arrays of texts: what :class:`Encoder` gives, words looked up all at once.
+
+    Words of up to 16 bytes are known by their first and last eight bytes and their length, so they
+    are compared exactly.  They stand in an open-addressed table of bounded size, which
+    is emptied when full; longer words and texts with special tokens go through the encoder one by one.
+    """
+
+    SLOTS, MOST, CHUNK, SHORT, FIRST = 1 << 21, 1 << 20, 1 << 18, 16, 32
+
+    def __init__(self, encode: Encoder) -> None:
+        self.encode = encode
+        self.head, self.tail = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.kind = np.zeros(self.SLOTS, np.uint8)  # length, and FIRST for a word that no space leads; 0: a free slot
+        self.at, self.many = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.uint8)
+        self.pool = np.zeros(1 << 20, dtype="<u4")
+        self.clear()
+
+    def clear(self) -> None:
+        self.kind[:] = 0
+        self.held = self.used = 0
+
+    def _put(self, ids: array, many: np.ndarray) -> tuple[np.ndarray, int]:
+        """Writes ids behind those in use; where each word's start, and the new end."""
+        end = self.used + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(2 * end - self.used, dtype="<u4")))
+        self.pool[self.used : end] = ids
+        return self.used + np.cumsum(many) - many, end
+
+    def _find(self, head: np.ndarray, tail: np.ndarray, kind: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The slot of each word, -1 if it has none."""
+        out, todo = np.full(len(head), -1), np.arange(len(head))
+        while len(todo):
+            s = slot[todo]
+            hit = (self.kind[s] == kind[todo]) & (self.head[s] == head[todo]) & (self.tail[s] == tail[todo])
+            out[todo[hit]] = s[hit]
+            on = ~hit & (self.kind[s] != 0)
+            todo, slot = todo[on], slot.copy()
+            slot[todo] = (slot[todo] + 1) & (self.SLOTS - 1)
+        return out
+
+    def _insert(self, head: np.ndarray, tail: np.ndarray, kind: np.ndarray, slot: np.ndarray, ids: array, many: np.ndarray) -> None:
+        """Distinct words that have no slot."""
+        at, self.used = self._put(ids, many)
+        self.held += len(head)
+        todo, slot = np.arange(len(head)), slot.copy()
+        while len(todo):
+            free = todo[self.kind[slot[todo]] == 0]
+            won = free[np.unique(slot[free], return_index=True)[1]]
+            s = slot[won]
+            self.head[s], self.tail[s], self.kind[s], self.at[s], self.many[s] = head[won], tail[won], kind[won], at[won], many[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & (self.SLOTS - 1)
+
+    def _make(self, raw: str, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[array, np.ndarray]:
+        """The ids of words by the library's model, one after another, and how many each has."""
+        tokenize, encode, make = self.encode.library.model.tokenize, self.encode.encode, self.encode.pieces.make
+        ids, many = array("I"), []
+        for i, j, f in zip(start.tolist(), end.tolist(), first.tolist(), strict=True):
+            word = raw[i:j]
+            if word.isascii() and word.isalpha():
+                found = [x.id for x in tokenize(word if f else "\u0120" + word)]
+                ids.extend(found)
+                many.append(len(found))
+            else:
+                word = word.encode("latin-1").decode()
+                found = encode(word) if f else make(word)
+                ids.frombytes(found)
+                many.append(len(found) // 4)
+        return ids, np.array(many, dtype=np.int64)
+
+    def _words(self, data: np.ndarray, raw: str, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of one chunk of words: how many ids each has, and all ids."""
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        n = end - start
+        short = np.flatnonzero(n <= self.SHORT)
+        size, a, b = n[short], start[short], end[short]
+        head = eight[a] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(size, 8)) * 8 % 64).astype(np.uint64))
+        head[size == 0] = 0
+        tail = np.where(size > 8, eight[np.maximum(b - 8, 0)], np.uint64(0))
+        kind = (size + self.FIRST * first[short]).astype(np.uint8)
+        mark = mix(head ^ mix(tail + kind))
+        slot = (mark & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        found = self._find(head, tail, kind, slot)
+        while len(lost := np.flatnonzero(found < 0)):
+            new = lost[np.unique(mark[lost], return_index=True)[1]]
+            if self.held + len(new) > self.MOST:
+                self.clear()
+                found[:] = -1
+                continue
+            self._insert(head[new], tail[new], kind[new], slot[new], *self._make(raw, a[new], b[new], first[short[new]]))
+            found[lost] = self._find(head[lost], tail[lost], kind[lost], slot[lost])  # words of equal marks, if ever, take another round
+        at, many = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        at[short], many[short] = self.at[found], self.many[found]
+        rest = np.flatnonzero(n > self.SHORT)
+        if len(rest):
+            spans = zip(start[rest].tolist(), end[rest].tolist(), first[rest].tolist(), strict=True)
+            blobs = [self.encode.encode(w) if f else self.encode.pieces[w] for w, f in ((raw[i:j].encode("latin-1").decode(), f) for i, j, f in spans)]
+            many[rest] = [len(b) // 4 for b in blobs]
+            at[rest], _ = self._put(array("I", b"".join(blobs)), many[rest])
+        return many, self.pool[np.repeat(at - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        data, offsets = buffer_of(texts)
+        if not len(texts):
+            return []
+        size = len(data)
+        data = np.concatenate((data, np.zeros(16, np.uint8)))
+        raw = data.tobytes().decode("latin-1")  # a letter a byte
+        cut = np.flatnonzero(data[:size] == 32)
+        after = data[cut + 1]
+        good = ~IS_SPACE[after]
+        wide = np.flatnonzero(good & np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3)))
+        codes = data[cut[wide][:, None] + (1, 2, 3)].astype(np.int64) @ (65536, 256, 1)
+        good[wide] = ~(np.isin(codes >> 8, _WIDE[0]) | np.isin(codes, _WIDE[1]))
+        # Nor does a token reach from a letter to a mark, or from a line's end, if no other space is beside it, to a letter.
+        bare = np.zeros(size, dtype=bool)
+        letter = _LETTER[data[:size]]
+        bare[1:] = letter[:-1] & _MARK[data[1:size]]
+        bare[2:] |= (data[1 : size - 1] == 10) & letter[2:] & (data[: size - 2] < 128) & ~IS_SPACE[data[: size - 2]]
+        bare[offsets[1:] - 1] = False
+        bare[offsets[:-1]] = False
+        begins = bare.copy()
+        begins[cut[good] + 1] = True
+        begins[offsets[:-1]] = True
+        start = np.flatnonzero(begins)
+        first = bare[start]
+        end = np.append(start[1:] - ~first[1:], size - 1)  # a cut, a space, or the newline behind each text
+        head = np.searchsorted(start, offsets[:-1])
+        first[head] = True
+        parts = [self._words(data, raw, start[i : i + self.CHUNK], end[i : i + self.CHUNK], first[i : i + self.CHUNK]) for i in range(0, len(start), self.CHUNK)]
+        many, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        upto = np.concatenate(([0], np.cumsum(many)))[np.append(head, len(start))]
+        out = [ids[i:j] for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        for token in self.encode.special:
+            token = token.encode().decode("latin-1")
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                out[row] = self.encode(texts[row].as_py())
+                at = raw.find(token, int(offsets[row + 1]))
+        return out
+
+
+_encoders: dict[str, Batches] = {}
+
+
+def encoder(path: str) -> Batches:
     """One a worker process and file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Batches(Encoder(path))
     return _encoders[path]
 
 
@@ -311,8 +466,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         with create(uri) as f:
             writer = Writer(f)
             while first is not None:
-                for doc_id, text in zip(first.column(0).to_pylist(), first.column(1), strict=True):
-                    writer.add(doc_id, np.append(encode(text.as_py() or ""), np.uint32(end_id)))
+                texts, known = first.column(1), first.column(0).to_pylist()
+                for a, b in slices(byte_sizes(texts), 2 << 20):
+                    for doc_id, ids in zip(known[a:b], encode(texts.slice(a, b - a)), strict=True):
+                        writer.add(doc_id, np.append(ids, np.uint32(end_id)))
                 first = next((b for b in batches if b.num_rows), None)
             writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([writer.total], pa.int64())], names=["file", "n"])
