@@ -188,3 +188,25 @@ def test_stages_bound_the_bytes_of_batches(spark):
         assert spark.conf.get(key) == "1000000"
     finally:
         spark.conf.unset(key)
+
+
+def test_what_is_read_and_written_of_a_stage_is_bounded(spark, tmp_path):
+    """Who wrote a stage's rows wrote row groups of 128 MB, and the reader decoded 4096 texts at once: at 0.6 GB the heap ran out."""
+    import pyarrow.dataset as ds
+
+    import corpus_pipeline as pipeline
+    from trafficlens.llm.common import READ_ROWS, ROW_GROUP
+
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize", "parquet.block.size"]
+    texts = spark.range(0, 8000, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 100), i -> sha2(concat(id, '-', i), 256))) AS text", "'en' AS lang", "'web' AS source", "1L AS n_chars")
+    try:
+        for key in keys:
+            spark.conf.unset(key)
+        pipeline.rules(spark, texts, SF).write.parquet(f"{tmp_path}/kept")
+        sizes = [g.total_byte_size for f in ds.dataset(f"{tmp_path}/kept", format="parquet").get_fragments() for g in f.row_groups]
+        assert len(sizes) > 1 and max(sizes) <= 1.5 * ROW_GROUP
+        assert spark.conf.get(keys[1]) == str(READ_ROWS)
+        assert spark.read.parquet(f"{tmp_path}/kept").exceptAll(texts).isEmpty()
+    finally:
+        for key in keys:
+            spark.conf.unset(key)

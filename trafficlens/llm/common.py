@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 ROW_GROUP = 8 << 20
 #: Bytes of a batch that goes to Python or comes back, about: Spark's 10,000 rows are 35 MB of texts, held several times over by the executor and its worker.
 BATCH = 4 << 20
+#: Rows that Spark's Parquet reader decodes at once: its 4096 are 20 MB of texts and more, in arrays that double, for each task.
+READ_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,13 +58,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """From now on the session's batches of rows for Python are cut at :data:`BATCH` bytes, unless it has a bound of its own.
+    """From now on the session's batches of rows for Python are cut at :data:`BATCH` bytes, its Parquet reader decodes
+    :data:`READ_ROWS` at once and its row groups end at :data:`ROW_GROUP`, unless it has bounds of its own.
 
-    A row longer than that is a batch alone.  Spark reads the setting when a plan runs, so it is not put back.
+    A row longer than that is a batch alone.  Spark reads the settings when a plan runs, so they are not put back: what the
+    caller of a stage writes from it has small row groups too, and the next stage's tasks read them in little memory.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH))
+    bounds = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH, "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS, "parquet.block.size": ROW_GROUP}
+    for key, most in bounds.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
 
 
 def discard(*tables: DataFrame) -> None:
