@@ -27,6 +27,22 @@ def test_capture_round_trip():
         assert list(read_capture(write_capture(iter(EVENTS), payload))) == EVENTS
 
 
+def test_captures_hold_events_of_more_users_than_a_byte_numbers(spark, tmp_path):
+    """With over 65,536 users a source is 10.0.256.0, which no packet can hold: the round trip failed."""
+    import duckdb
+
+    from trafficlens.plans import contracts
+
+    users = [0, 255, 256, 65_535, 65_536, 90_001, 900_000]
+    con = duckdb.connect()
+    con.execute(f"""CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i * 700) AS ts, {users}[i % {len(users)} + 1]::BIGINT AS user_id,
+        ['view', 'click', 'error', 'signup', 'purchase'][i % 5 + 1] AS event_type, i / 10.0::DOUBLE AS value, '{{"k": ' || i % 100 || '}}' AS props FROM range(300) t(i)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    rows = contracts.pcap_roundtrip(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({contracts.PCAP_SQL})").fetchall()
+    assert sorted(map(tuple, rows.collect())) == sorted(want) and any(r[1] == "10.0.3515.160" for r in want)
+
+
 def test_captures_arrive_in_time_order(spark, tmp_path):
     """Two files of 600 s, the later one first by name: no event comes too late for its window."""
     from trafficlens.operators import exact

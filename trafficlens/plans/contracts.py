@@ -10,7 +10,7 @@ import tempfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import KEY_SEPARATOR
@@ -227,16 +227,34 @@ def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.mapInPandas(run, "query string, component string, window_end_nanos bigint, within boolean")
 
 
+def carried(address: str) -> Column:
+    """``10.0.a.b`` as an address that a packet can hold: what the third number has over 255 goes into the second.
+
+    The adapter makes sources of users so, and with more than 65,536 users their third numbers outgrow a byte.
+    """
+    n = F.split(address, "[.]")
+    third = n[2].cast("bigint")
+    return F.when(third > 255, F.concat_ws(".", n[0], (third / 256).cast("bigint").cast("string"), (third % 256).cast("string"), n[3])).otherwise(F.col(address))
+
+
+def uncarried(address: str) -> Column:
+    """The inverse of :func:`carried`."""
+    n = F.split(address, "[.]")
+    second = n[1].cast("bigint")
+    return F.when(second > 0, F.concat_ws(".", n[0], F.lit("0"), (second * 256 + n[2].cast("bigint")).cast("string"), n[3])).otherwise(F.col(address))
+
+
 def pcap_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Events written as captures, one an hour of the day, and read back."""
     e = events(spark, d).withColumn("bytes", F.least("bytes", F.lit(60_000))).withColumn("part", F.expr("(ts_nanos div 3600000000000) % 24"))
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("arrival_seq")[["ts_nanos", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes", "tcp_flags"]]
-        return pd.DataFrame({"path": [f"{pdf.part.iloc[0]:02}.pcap"], "content": [write_capture(iter(rows.to_dict("records")), 0)]})
+        return pd.DataFrame({"path": [f"{pdf.part.iloc[0]:02}.pcap"], "content": [write_capture((dict(zip(rows.columns, r, strict=True)) for r in rows.itertuples(index=False, name=None)), 0)]})
 
-    files = e.groupBy("part").applyInPandas(write, "path string, content binary")
-    return events_of_files(files).groupBy("protocol", "src_ip").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum("dst_port").alias("ports"), F.min("ts_nanos").alias("first"))
+    files = e.withColumn("src_ip", carried("src_ip")).groupBy("part").applyInPandas(write, "path string, content binary")
+    read = events_of_files(files).withColumn("src_ip", uncarried("src_ip"))
+    return read.groupBy("protocol", "src_ip").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum("dst_port").alias("ports"), F.min("ts_nanos").alias("first"))
 
 
 PCAP_SQL = f"""
