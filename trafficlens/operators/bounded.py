@@ -24,7 +24,7 @@ from .panes import arrived, bounds, fan_out
 from .snapshot import Incompatible, SnapshotError, read_snapshot
 
 #: Names of a plan's states, in the order of its sketches: fixed values of the snapshot form.
-COMPONENTS = {"count": ("keys-spacesaving", "count-min"), "sum": ("keys-spacesaving", "count-min"), "heavy_hitters": ("spacesaving",), "entropy": ("head-spacesaving", "tail-hll"), "quantile": ("kll",)}
+COMPONENTS = {"count": ("keys-spacesaving", "count-min"), "sum": ("keys-spacesaving", "count-min"), "heavy_hitters": ("spacesaving",), "entropy": ("head-spacesaving", "tail-hll", "tail-sample"), "quantile": ("kll",)}
 STATE = "pane bigint, n bigint, states array<binary>"
 
 
@@ -42,6 +42,7 @@ def fresh(p: Plan, seed: int = 0) -> list[S.Sketch]:
         "HyperLogLog": lambda s: S.HyperLogLog(s.precision, seed),
         "HLLMap": lambda s: S.HllMap(s.max_keys, s.precision, seed),
         "KLL": lambda s: S.Kll(s.k, seed),
+        "KeySample": lambda s: S.KeySample(s.capacity, seed),
     }
     return [made[s.kind](s) for s in p.sketches]
 

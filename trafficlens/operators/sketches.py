@@ -457,6 +457,67 @@ class SpaceSaving(Sketch):
         return out
 
 
+class KeySample(Sketch):
+    """Whole weights of the keys with the least hashes: a fair sample of distinct keys, and of all while they are few.
+
+    A key leaves a full sample only if ``capacity`` keys have lesser hashes, and so never comes back: the weights of those
+    that stay are exact, however keys are spread over the sketches that are merged.
+    """
+
+    algorithm = "key-sample"
+
+    def __init__(self, capacity: int, seed: int = 0) -> None:
+        if capacity < 1:
+            raise ValueError("capacity must be positive")
+        self.capacity, self.seed, self.updates, self.full = capacity, seed, 0, False
+        self.counts: dict[int, int] = {}
+        self.heap: list[int] = []  # of negated hashes
+
+    def _add(self, h: int, weight: int) -> None:
+        if h in self.counts:
+            self.counts[h] += weight
+        elif len(self.counts) < self.capacity:
+            self.counts[h] = weight
+            heapq.heappush(self.heap, -h)
+        else:
+            self.full = True
+            if h < -self.heap[0]:
+                del self.counts[-heapq.heapreplace(self.heap, -h)]
+                self.counts[h] = weight
+
+    def update(self, key: bytes, weight: int = 1) -> None:
+        self._add(hash64(key, self.seed), weight)
+        self.updates += 1
+
+    def estimate(self, key: bytes = b"") -> int:
+        return self.counts.get(hash64(key, self.seed), 0)
+
+    def _merge(self, other: KeySample) -> None:
+        for h, weight in other.counts.items():
+            self._add(h, weight)
+        self.full = self.full or other.full
+
+    def params(self) -> bytes:
+        return struct.pack("<Q", self.capacity)
+
+    def payload(self) -> bytes:
+        return struct.pack("<QBI", self.updates, self.full, len(self.counts)) + b"".join(struct.pack("<QQ", h, c) for h, c in sorted(self.counts.items()))
+
+    @classmethod
+    def _load(cls, params: Cursor, payload: Cursor, seed: int) -> KeySample:
+        out = cls(params.number("Q"), seed)
+        out.updates, flag = payload.number("Q"), payload.number("B")
+        n, last = payload.count(16), None
+        _need(flag < 2 and n <= out.capacity and (not flag or n == out.capacity), "more or fewer keys than the sample holds")
+        for _ in range(n):
+            h, count = payload.number("Q"), payload.number("Q")
+            _need((last is None or last < h) and count > 0, "hashes must be sorted, distinct and weighty")
+            out.counts[h], last = count, h
+        out.heap, out.full = [-h for h in out.counts], bool(flag)
+        heapq.heapify(out.heap)
+        return out
+
+
 class MisraGries(Sketch):
     """Lower bounds: the truth is within total / (capacity + 1) above."""
 
@@ -666,17 +727,35 @@ class ExactCounter(Sketch):
         return out
 
 
-KINDS: dict[str, type[Sketch]] = {c.algorithm: c for c in (CountMin, CountSketch, HyperLogLog, HllMap, SpaceSaving, MisraGries, Kll, ExactCounter)}
+KINDS: dict[str, type[Sketch]] = {c.algorithm: c for c in (CountMin, CountSketch, HyperLogLog, HllMap, SpaceSaving, MisraGries, Kll, ExactCounter, KeySample)}
+
+
+def unevenness(weights: list[int]) -> float:
+    """How many bits the entropy of these weights is below that of equal ones."""
+    if not weights:
+        return 0.0
+    mean = sum(weights) / len(weights)
+    return sum(w * math.log2(w / mean) for w in weights) / sum(weights)
+
 
+def entropy_bits(head: SpaceSaving, tail: HyperLogLog, sample: KeySample | None = None) -> float | None:
+    """Guaranteed counts of the head exactly, the rest spread over the untracked support: evenly, or as unevenly as ``sample`` is.
 
-def entropy_bits(head: SpaceSaving, tail: HyperLogLog) -> float | None:
-    """Guaranteed counts of the head exactly, the rest spread evenly over the untracked support."""
+    With a sample only keys whose guaranteed count is the larger part of their count are the head: of others a part is unknown.
+    A sample that holds every key gives the entropy itself.
+    """
     if not head.total:
         return None
-    sure = [c - e for c, e in head.entries.values() if c > e]
-    out = -sum(g / head.total * math.log2(g / head.total) for g in sure)
-    rest = head.total - sum(sure)
+    if sample is not None and not sample.full:
+        total = sum(sample.counts.values())
+        return max(0.0, math.log2(total) - sum(w * math.log2(w) for w in sample.counts.values()) / total)
+    known = {k: c - e for k, (c, e) in head.entries.items() if c > e and (sample is None or c >= 2 * e)}
+    out = -sum(g / head.total * math.log2(g / head.total) for g in known.values())
+    rest = head.total - sum(known.values())
     if rest > 0:
-        each = rest / max(1.0, tail.cardinality() - len(head.entries)) / head.total
+        each = rest / max(1.0, tail.cardinality() - len(head.entries if sample is None else known)) / head.total
         out -= rest / head.total * math.log2(each)
+        if sample is not None:
+            told = {hash64(k, sample.seed) for k in known}
+            out -= rest / head.total * unevenness([w for h, w in sample.counts.items() if h not in told])
     return max(0.0, out)
