@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+
 MASK = (1 << 64) - 1
 #: Fixed values of the hash: FNV-1a's offset and prime, splitmix64's constants, and the domain tags.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -51,6 +53,47 @@ class RowHash:
         return 1 if splitmix64(self.first ^ turned ^ splitmix64(row ^ SIGN_DOMAIN)) & 1 else -1
 
 
+def splitmix64_many(x: np.ndarray) -> np.ndarray:
+    x = x + np.uint64(GOLDEN)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hash64_many(keys: list[bytes], seed: int = 0) -> np.ndarray:
+    """:func:`hash64` of each key, a byte of all keys at a time."""
+    sizes = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
+    width = max(1, int(sizes.max(initial=0)))
+    cells = np.ascontiguousarray(np.array(keys, dtype=f"S{width}").view(np.uint8).reshape(-1, width).T)
+    h = np.full(len(keys), FNV_OFFSET ^ splitmix64(seed), dtype=np.uint64)
+    for i, column in enumerate(cells):
+        h = np.where(sizes > i, (h ^ column) * np.uint64(FNV_PRIME), h)
+    return splitmix64_many(h)
+
+
+@dataclass(frozen=True)
+class RowHashes:
+    """:class:`RowHash` of many keys."""
+
+    first: np.ndarray
+    second: np.ndarray
+
+    @classmethod
+    def of(cls, keys: list[bytes], seed: int) -> RowHashes:
+        return cls(hash64_many(keys, seed), hash64_many(keys, seed ^ SECOND_ROW) | np.uint64(1))
+
+    def _turned(self, left: int, tag: int) -> np.ndarray:
+        left %= 64  # never 0
+        turned = (self.second << np.uint64(left)) | (self.second >> np.uint64(64 - left))
+        return splitmix64_many(self.first ^ turned ^ np.uint64(splitmix64(tag)))
+
+    def index(self, row: int, width: int) -> np.ndarray:
+        return (self._turned(row % 63 + 1, row ^ INDEX_DOMAIN) % np.uint64(width)).astype(np.int64)
+
+    def sign(self, row: int) -> np.ndarray:
+        return (self._turned(-(row % 63 + 1), row ^ SIGN_DOMAIN) & np.uint64(1)).astype(np.int64) * 2 - 1
+
+
 class SplitMixRng:
     """A stream of 64-bit numbers."""
 

@@ -14,7 +14,7 @@ from abc import ABC, abstractmethod
 
 import numpy as np
 
-from .hashing import MASK, RowHash, hash64, splitmix64
+from .hashing import MASK, RowHash, RowHashes, hash64, splitmix64
 from .snapshot import Cursor, Incompatible, SnapshotError, blob, read_snapshot, write_snapshot
 
 
@@ -150,6 +150,26 @@ class CountSketch(Sketch):
         self.table[at] += sign * weight
         self.updates += 1
 
+    def update_many(self, keys: list[bytes], weights: np.ndarray, hashes: RowHashes | None = None) -> None:
+        """``update`` of each key.  A subclass that has its own is asked key by key."""
+        if type(self).update is not CountSketch.update:
+            for key, weight in zip(keys, weights.tolist(), strict=True):
+                self.update(key, weight)
+            return
+        hashes = hashes or RowHashes.of(keys, self.seed)
+        for r in range(self.depth):
+            np.add.at(self.table[r], hashes.index(r, self.width), hashes.sign(r) * weights)
+        self.updates += len(keys)
+
+    def estimate_many(self, hashes: RowHashes) -> np.ndarray:
+        """``estimate`` of each key."""
+        v = np.sort([self.table[r][hashes.index(r, self.width)] * hashes.sign(r) for r in range(self.depth)], axis=0)
+        n = self.depth
+        if n % 2:
+            return v[n // 2]
+        both = v[n // 2 - 1] + v[n // 2]
+        return np.abs(both) // 2 * np.where(both >= 0, 1, -1)
+
     def estimate(self, key: bytes = b"") -> int:
         at, sign = self._cells(key)
         v = sorted((self.table[at] * sign).tolist())
